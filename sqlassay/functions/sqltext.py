@@ -131,7 +131,7 @@ def cte_names(text: Column) -> Column:
     return F.when(text.rlike(r"(?i)^\s*with\b"), F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
 
 
-def table_items(text: Column) -> Column:
+def table_items(text: Column, ctes: Column) -> Column:
     """``struct(table_name, alias)`` per FROM or JOIN item, CTE names left out."""
     lists = _all(text, _FROM_LIST, 1)
     items = F.flatten(F.transform(lists, lambda l: F.split(l, ",")))
@@ -144,13 +144,16 @@ def table_items(text: Column) -> Column:
             F.lower(F.regexp_replace(F.regexp_extract(i, alias, 1), r'["`\[\]]', "")).alias("alias"),
         ),
     )
-    ctes = cte_names(text)
     return F.filter(pairs, lambda p: ~F.array_contains(ctes, p["table_name"]) & (p["table_name"] != ""))
 
 
-def column_items(text: Column) -> Column:
-    """``struct(qualifier, column_name)`` per column read; output aliases are left out."""
-    output = F.transform(_all(text, rf"(?i)\bas\s+({_NAME})", 1), plain_name)
+def output_names(text: Column) -> Column:
+    """Names given with AS, lower case."""
+    return F.transform(_all(text, rf"(?i)\bas\s+({_NAME})", 1), plain_name)
+
+
+def column_items(text: Column, output: Column) -> Column:
+    """``struct(qualifier, column_name)`` per column read; the names in ``output`` are left out."""
     rest = F.regexp_replace(text, _CTE_HEAD, "(")
     rest = F.regexp_replace(rest, _FROM_LIST, " ")
     rest = F.regexp_replace(rest, rf"(?i)\bas\s+{_NAME}", " ")
@@ -226,7 +229,7 @@ def ddl_columns(statement: Column) -> Column:
     def table_column(part: Column) -> Column:
         return F.struct(
             plain_name(F.regexp_extract(part, rf"^\s*({_NAME})", 1)).alias("column_name"),
-            F.upper(F.regexp_extract(part, rf"(?i)^\s*{_NAME}\s+([a-z]+\s*(?:\([^()]*\))?)", 1)).alias("data_type"),
+            F.upper(F.trim(F.regexp_extract(part, rf"(?i)^\s*{_NAME}\s+([a-z]+\s*(?:\([^()]*\))?)", 1))).alias("data_type"),
         )
 
     columns = F.when(is_view, F.transform(parts, view_column)).otherwise(F.transform(parts, table_column))
