@@ -14,17 +14,27 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def half_even(value: Column, decimals: int) -> Column:
+    """Half-even rounding of the binary value, as numpy and C do it.
+
+    ``bround`` rounds the printed decimals instead: 0.5015 is below the half in binary.
+    """
+    return F.rint(value * F.lit(float(10**decimals))) / F.lit(float(10**decimals))
+
+
 def rounded(col: Column, dtype: T.DataType, decimals: int | None) -> Column:
     """Half-even rounding of fractional columns; 0 or None leaves the value alone."""
     if not decimals or not isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
         return col
-    return F.bround(col, decimals)
+    if isinstance(dtype, T.DecimalType):
+        return F.bround(col, decimals)
+    return half_even(col.cast("double"), decimals)
 
 
 def cell(col: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
     """Canonical text of a value: 1, 1.0 and DECIMAL 1.00 agree, NaN counts as null."""
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        value = F.bround(col.cast("double"), decimals or NOISE_DECIMALS)
+        value = half_even(col.cast("double"), decimals or NOISE_DECIMALS)
         whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
         return (
             F.when(F.isnan(value), F.lit(None).cast("string"))

@@ -24,7 +24,8 @@ def contains_score(output: Column, substring: Column, case_sensitive: bool = Tru
 
 
 def regex_score(output: Column, pattern: str) -> Column:
-    return output.rlike(pattern).cast("double")
+    """1.0 if the pattern is found anywhere; letters and word edges are Unicode ones."""
+    return output.rlike(f"(?U){pattern}").cast("double")
 
 
 def json_score(text: Column) -> Column:

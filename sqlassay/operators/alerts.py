@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlassay.functions.cells import half_even
 from sqlassay.functions.times import DAY, HOUR, SECOND, micros
 from sqlassay.operators.ordered import measured_span, previous_row, running_sums, spaced
 
@@ -55,7 +56,7 @@ def status_columns() -> dict[str, Column]:
             wrong, F.format_string("Unexpected response. Expected '%s', Got: '%s'", expected, F.coalesce(response, F.lit("")))
         )
     )
-    numbers = F.format_string("Latency: %.2fs, InTokens: %d, OutTokens: %d", "latency", "tokens_in", "tokens_out")
+    numbers = F.format_string("Latency: %.2fs, InTokens: %d, OutTokens: %d", half_even(F.col("latency"), 2), "tokens_in", "tokens_out")
     measured = wrong & ~raised & ~limited
     return {
         "status": F.when(raised, ERROR).when(limited, RATE_LIMITED).when(wrong, ERROR).otherwise(OK),
@@ -93,6 +94,10 @@ def with_settings(checks: DataFrame, settings: DataFrame | None = None, default:
 # --- gates --------------------------------------------------------------------------
 
 
+def _seconds(value: Column) -> Column:
+    return value.cast("bigint") * F.lit(SECOND)
+
+
 def _spaced(rows: DataFrame, gap: Column, name: str, reset: Column | None = None, widest: int = HOUR) -> DataFrame:
     at = micros(rows, "ts")
     # Wide enough for chains to merge, narrow enough for one task.
@@ -102,12 +107,12 @@ def _spaced(rows: DataFrame, gap: Column, name: str, reset: Column | None = None
 
 def interval_gate(checks: DataFrame) -> DataFrame:
     """Add ``accepted``: false for a check closer than its interval to the last accepted one."""
-    return _spaced(checks, F.col("interval_seconds") * F.lit(SECOND), "accepted")
+    return _spaced(checks, _seconds(F.col("interval_seconds")), "accepted")
 
 
 def _cooldown(status: str = "status") -> Column:
     limited = F.col(status) == RATE_LIMITED
-    return F.when(limited, F.col("rate_limit_cooldown_seconds")).otherwise(0) * F.lit(SECOND)
+    return _seconds(F.when(limited, F.col("rate_limit_cooldown_seconds")).otherwise(0))
 
 
 def cooldown_gate(checks: DataFrame) -> DataFrame:
@@ -124,7 +129,7 @@ def disabled(checks: DataFrame) -> DataFrame:
 
 def accepted_checks(checks: DataFrame) -> DataFrame:
     """Classified checks that count: past interval and cooldown, or switched off."""
-    gap = F.greatest(F.col("interval_seconds") * F.lit(SECOND), _cooldown())
+    gap = F.greatest(_seconds(F.col("interval_seconds")), _cooldown())
     # A switched-off row neither waits nor makes others wait, so it stays out of the chain.
     ready = disabled(checks)
     on = _spaced(ready.filter("enabled"), gap, "accepted").filter("accepted").drop("accepted")

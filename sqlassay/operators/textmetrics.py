@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlassay.functions import text as tx
+from sqlassay.functions.cells import half_even
 from sqlassay.operators.judge import score_row
 from sqlassay.sources.tables import small_table
 
@@ -72,7 +73,7 @@ def levenshtein_metric(output: Column, reference: Column) -> Column:
     distance = tx.levenshtein_distance(output, reference)
     score = tx.levenshtein_score(output, reference)
     reason = F.when(distance < 0, F.lit("Inputs must be strings.")).otherwise(
-        F.format_string("Levenshtein distance: %d. Similarity ratio: %.4f.", distance, score)
+        F.format_string("Levenshtein distance: %d. Similarity ratio: %.4f.", distance, half_even(score, 4))
     )
     return score_row("levenshtein_ratio", score, reason, F.create_map(F.lit("distance"), distance.cast("string")))
 

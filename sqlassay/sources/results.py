@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlassay.functions.cells import half_even
+
 RESULT_COLUMNS = [
     "question", "query", "data_csv_files", "query_category", "instructions", "glossary", "k_shot_prompt",
     "schema_string", "table_aliases_str", "prompt_generated", "generated_query", "latency_seconds", "input_tokens",
@@ -23,7 +25,7 @@ def result_layout(results: DataFrame) -> DataFrame:
 
     def shown(name: str):
         if isinstance(types[name], (T.DoubleType, T.FloatType)):
-            return F.format_string("%.3f", F.col(name).cast("double")).alias(name)
+            return F.format_string("%.3f", half_even(F.col(name).cast("double"), 3)).alias(name)
         return F.col(name)
 
     return results.select(*[F.when(F.col(n).isNotNull(), shown(n)).alias(n) for n in known + extras])
@@ -35,14 +37,14 @@ def write_results(results: DataFrame, path: str, run: str | None = None, form: s
     if run:
         writer = writer.partitionBy(run)
     if form == "csv":
-        writer.csv(path, header=True, quoteAll=False, escape='"')
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         writer.format(form).save(path)
 
 
 def run_history(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Stored results with file name and time, newest file first."""
-    stored = spark.read.schema(schema).csv(path, header=True, escape='"', recursiveFileLookup=False)
+    stored = spark.read.schema(schema).csv(path, header=True, escape='"')
     named = stored.select(
         "*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("written_at")
     )
