@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sqlassay.functions.rows import let
+
 # --- fixed values ---------------------------------------------------------------------
 
 DISALLOWED_WORDS = ["DROP", "DELETE", "TRUNCATE", "UPDATE", "INSERT", "ALTER", "CREATE", "GRANT", "REVOKE"]
@@ -24,22 +26,28 @@ WRITE_WORDS = ["DROP", "DELETE", "TRUNCATE", "UPDATE", "INSERT", "ALTER"]
 
 INNER_SEMICOLON = r";(?!\s*(--.*)?\s*$)"
 
-# Pattern and description, first hit wins.
+# A capitalised part of every match, the pattern, and what it is; first hit wins.
 DANGEROUS_PATTERNS = [
-    (r"(?i)\bGRANT\b", "GRANT statement"),
-    (r"(?i)\bREVOKE\b", "REVOKE statement"),
-    (r"(?i)xp_cmdshell", "xp_cmdshell execution"),
-    (r"(?i)sp_configure", "sp_configure execution"),
-    (r"(?i)exec\s*\(", "EXEC direct call"),
-    (INNER_SEMICOLON, "Comment after semicolon (potential injection hiding)"),
-    (r"(?i)\bSHUTDOWN\b", "SHUTDOWN command"),
-    (r"(?i)\bCREATE USER\b", "CREATE USER statement"),
-    (r"(?i)\bCREATE LOGIN\b", "CREATE LOGIN statement"),
-    (r"(?i)\bCREATE ROLE\b", "CREATE ROLE statement"),
+    ("GRANT", r"(?i)\bGRANT\b", "GRANT statement"),
+    ("REVOKE", r"(?i)\bREVOKE\b", "REVOKE statement"),
+    ("XP_CMDSHELL", r"(?i)xp_cmdshell", "xp_cmdshell execution"),
+    ("SP_CONFIGURE", r"(?i)sp_configure", "sp_configure execution"),
+    ("EXEC", r"(?i)exec\s*\(", "EXEC direct call"),
+    (";", INNER_SEMICOLON, "Comment after semicolon (potential injection hiding)"),
+    ("SHUTDOWN", r"(?i)\bSHUTDOWN\b", "SHUTDOWN command"),
+    ("CREATE USER", r"(?i)\bCREATE USER\b", "CREATE USER statement"),
+    ("CREATE LOGIN", r"(?i)\bCREATE LOGIN\b", "CREATE LOGIN statement"),
+    ("CREATE ROLE", r"(?i)\bCREATE ROLE\b", "CREATE ROLE statement"),
 ]
 
-# Patterns reported with the text they matched, anchored at a word start.
-UNSAFE_PATTERNS = [r"(?i)\bxp_cmdshell", r"(?i)\bexec(?=\s|\()", r"(?i)\bsp_", r"(?i)\bxp_", r";\s*--"]
+# Reported with the text they matched and anchored at a word start; first a part of every match.
+UNSAFE_PATTERNS = [
+    ("XP_CMDSHELL", r"(?i)\bxp_cmdshell"),
+    ("EXEC", r"(?i)\bexec(?=\s|\()"),
+    ("SP_", r"(?i)\bsp_"),
+    ("XP_", r"(?i)\bxp_"),
+    (";", r";\s*--"),
+]
 
 # Words that are never a column.
 KEYWORDS = (
@@ -53,7 +61,8 @@ KEYWORDS = (
 # --- cleaning -------------------------------------------------------------------------
 
 _LITERAL_OR_COMMENT = r"('[^']*(?:''[^']*)*')|(--[^\n]*)"
-_NAME = r'(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|[A-Za-z_][\w$]*)'
+# Possessive, so that a word that leads nowhere is given up at once.
+_NAME = r'(?:"[^"]++"|`[^`]++`|\[[^\]]++\]|(?<![\w$])[A-Za-z_][\w$]*+)'
 _DOTTED = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
 _AFTER_TABLE = "on|using|where|join|inner|left|right|full|cross|natural|group|order|having|limit|offset|union|intersect|except|set|window|fetch|lateral|tablesample"
 _ITEM = rf"{_DOTTED}(?:\s+(?:as\s+)?(?!(?:{_AFTER_TABLE})\b){_NAME})?"
@@ -81,8 +90,9 @@ def bare(sql: Column) -> Column:
 
 def plain_name(name: Column) -> Column:
     """Last part of a dotted name, quotes off, lower case."""
-    last = F.regexp_extract(name, rf"({_NAME})\s*$", 1)
-    return F.lower(F.regexp_replace(last, r'["`\[\]]', ""))
+    quoted = name.rlike(r'["`\[]')
+    last = F.regexp_replace(F.regexp_extract(name, rf"({_NAME})\s*$", 1), r'["`\[\]]', "")
+    return F.lower(F.when(quoted, last).otherwise(F.trim(F.substring_index(name, ".", -1))))
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -91,27 +101,38 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 # --- ORDER BY -------------------------------------------------------------------------
 
-_LAST_ORDER_BY = r"(?is)^.*\border\s+by\s+((?:[^();]|\([^()]*\))*?)\s*(?:\blimit\b|\boffset\b|\bfetch\b|;|\)|$)"
+_AFTER_LAST_ORDER_BY = r"(?is)^.*\border\s+by\s+(.*)$"
+_AFTER_KEYS = r"(?is)\s*(?:\b(?:limit|offset|fetch)\b|;).*$"
 
 
 def _protect_commas(text: Column, depth: int = 4) -> Column:
     """Commas inside parentheses become \\u0001, parentheses \\u0002 and \\u0003, innermost first."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r",(?=[^()]*\))", "\u0001")
-        text = F.regexp_replace(text, r"\(([^()]*)\)", "\u0002$1\u0003")
-    return text
+
+    def protected(plain: Column) -> Column:
+        done = plain
+        for _ in range(depth):
+            done = F.regexp_replace(done, r",(?=[^()]*\))", "\u0001")
+            done = F.regexp_replace(done, r"\(([^()]*)\)", "\u0002$1\u0003")
+        return F.when(plain.contains("("), done).otherwise(plain)
+
+    return let(text, protected)
 
 
-def _split_top_level(text: Column) -> Column:
+def _split_top_level(protected: Column) -> Column:
     """Split at commas outside parentheses."""
-    parts = F.split(_protect_commas(text), ",")
+    parts = F.split(protected, ",")
     return F.transform(parts, lambda p: F.trim(F.translate(p, "\u0001\u0002\u0003", ",()")))
 
 
 def order_items(sql: Column) -> Column:
     """The items of the last ORDER BY; an empty array if there is none."""
-    clause = F.regexp_extract(bare(sql), _LAST_ORDER_BY, 1)
-    return F.filter(_split_top_level(clause), lambda i: i != "")
+    clause = F.regexp_extract(bare(sql), _AFTER_LAST_ORDER_BY, 1)
+    # A bracket still unpaired closes the query around the clause.
+    own = F.substring_index(_protect_commas(clause), ")", 1)
+    items = _split_top_level(F.regexp_replace(own, _AFTER_KEYS, ""))
+    return F.when(sql.rlike(r"(?i)\border\s+by\b"), F.filter(items, lambda i: i != "")).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def order_item_name(item: Column) -> Column:
@@ -152,14 +173,17 @@ def output_names(text: Column) -> Column:
     return F.transform(_all(text, rf"(?i)\bas\s+({_NAME})", 1), plain_name)
 
 
+# What is not a column, each taken as a whole, then the dotted names that are left.
+_COLUMN = (
+    rf"{_CTE_HEAD}|{_FROM_LIST}|\bas\s+{_NAME}|{_DOTTED}\s*+\.\s*+\*|"
+    rf"(?<![\w$])[A-Za-z_][\w$]*+\s*+\(|(?<![\w.])({_DOTTED})"
+)
+_COLUMN_GROUP = 3
+
+
 def column_items(text: Column, output: Column) -> Column:
     """``struct(qualifier, column_name)`` per column read; the names in ``output`` are left out."""
-    rest = F.regexp_replace(text, _CTE_HEAD, "(")
-    rest = F.regexp_replace(rest, _FROM_LIST, " ")
-    rest = F.regexp_replace(rest, rf"(?i)\bas\s+{_NAME}", " ")
-    rest = F.regexp_replace(rest, rf"(?:{_NAME}\s*\.\s*)+\*", " ")
-    rest = F.regexp_replace(rest, r"[A-Za-z_][\w$]*\s*\(", "(")
-    names = _all(rest, rf"(?<![\w.]){_DOTTED}", 0)
+    names = F.array_distinct(F.filter(_all(text, _COLUMN, _COLUMN_GROUP), lambda n: n != ""))
     pairs = F.transform(
         names,
         lambda n: F.struct(
@@ -170,11 +194,10 @@ def column_items(text: Column, output: Column) -> Column:
             n.rlike('^["`\\[]').alias("quoted"),
         ),
     )
-    words = F.array(*[F.lit(k) for k in KEYWORDS])
     real = F.filter(
         pairs,
         lambda p: p["qualifier"].isNotNull()
-        | ((p["quoted"] | ~F.array_contains(words, p["column_name"])) & ~F.array_contains(output, p["column_name"])),
+        | ((p["quoted"] | ~p["column_name"].isin(*KEYWORDS)) & ~F.array_contains(output, p["column_name"])),
     )
     return F.array_distinct(
         F.transform(real, lambda p: F.struct(p["qualifier"].alias("qualifier"), p["column_name"].alias("column_name")))
@@ -217,7 +240,7 @@ def ddl_columns(statement: Column) -> Column:
     body = F.regexp_extract(statement, r"(?s)\((.*)\)[^)]*$", 1)
     select_list = F.regexp_extract(statement, r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\bfrom\b", 1)
     source = F.when(is_view, select_list).otherwise(body)
-    parts = F.filter(_split_top_level(source), lambda p: (p != "") & (is_view | ~p.rlike(_CONSTRAINT)))
+    parts = F.filter(_split_top_level(_protect_commas(source)), lambda p: (p != "") & (is_view | ~p.rlike(_CONSTRAINT)))
     by_alias = rf"(?is)\bas\s+({_NAME})\s*$"
 
     def view_column(part: Column) -> Column:

@@ -34,15 +34,21 @@ def json_score(text: Column) -> Column:
 
 
 def levenshtein_distance(output: Column, reference: Column) -> Column:
-    return F.coalesce(F.levenshtein(output, reference), F.lit(-1))
+    """Edit distance, -1 for a null side; equal texts are not walked through."""
+    same = F.when(output == reference, F.lit(0)).otherwise(F.levenshtein(output, reference))
+    return F.coalesce(same, F.lit(-1))
 
 
 def levenshtein_score(output: Column, reference: Column) -> Column:
     """(longer length - distance) / longer length; 1.0 for two empty texts, 0.0 for a null."""
+    return score_of_distance(output, reference, levenshtein_distance(output, reference))
+
+
+def score_of_distance(output: Column, reference: Column, distance: Column) -> Column:
+    """The ratio of a distance that is already known; -1 stands for a null side."""
     longest = F.greatest(F.length(output), F.length(reference))
-    ratio = (longest - F.levenshtein(output, reference)) / longest
-    missing = output.isNull() | reference.isNull()
-    return F.when(missing, 0.0).when(longest == 0, 1.0).otherwise(ratio)
+    known = F.when(longest == 0, 1.0).otherwise((longest - distance) / longest)
+    return F.when(output.isNull() | reference.isNull(), 0.0).otherwise(known)
 
 
 def strip_fences(text: Column) -> Column:

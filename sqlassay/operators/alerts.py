@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sqlassay.functions.cells import half_even
 from sqlassay.functions.times import DAY, HOUR, SECOND, micros
 from sqlassay.operators.ordered import measured_span, previous_row, running_sums, spaced
+from sqlassay.session import landed
 
 OK, ERROR, RATE_LIMITED, DISABLED = "OK", "ERROR", "RATE_LIMITED", "DISABLED"
 FAILURE, REMINDER, RECOVERY = "FAILURE", "REMINDER", "RECOVERY"
@@ -98,16 +99,22 @@ def _seconds(value: Column) -> Column:
     return value.cast("bigint") * F.lit(SECOND)
 
 
-def _spaced(rows: DataFrame, gap: Column, name: str, reset: Column | None = None, widest: int = HOUR) -> DataFrame:
-    at = micros(rows, "ts")
+def chunk_span(rows: DataFrame) -> int:
+    """Chunk width for the checks in ``rows``; measure on plain rows, once, and pass it on."""
+    return measured_span(rows, ["check_id"], micros(rows, "ts"))
+
+
+def _spaced(
+    rows: DataFrame, gap: Column, name: str, span: int | None, reset: Column | None = None, widest: int = HOUR
+) -> DataFrame:
     # Wide enough for chains to merge, narrow enough for one task.
-    span = max(measured_span(rows, ["check_id"], at), min(100 * widest, DAY))
-    return spaced(rows, ["check_id"], at, "event_id", gap, name, reset, span)
+    span = max(span or chunk_span(rows), min(100 * widest, DAY))
+    return spaced(rows, ["check_id"], micros(rows, "ts"), "event_id", gap, name, reset, span)
 
 
-def interval_gate(checks: DataFrame) -> DataFrame:
+def interval_gate(checks: DataFrame, span: int | None = None) -> DataFrame:
     """Add ``accepted``: false for a check closer than its interval to the last accepted one."""
-    return _spaced(checks, _seconds(F.col("interval_seconds")), "accepted")
+    return _spaced(checks, _seconds(F.col("interval_seconds")), "accepted", span)
 
 
 def _cooldown(status: str = "status") -> Column:
@@ -115,9 +122,9 @@ def _cooldown(status: str = "status") -> Column:
     return _seconds(F.when(limited, F.col("rate_limit_cooldown_seconds")).otherwise(0))
 
 
-def cooldown_gate(checks: DataFrame) -> DataFrame:
+def cooldown_gate(checks: DataFrame, span: int | None = None) -> DataFrame:
     """Add ``accepted``: false for a check inside the cooldown of an accepted RATE_LIMITED one."""
-    return _spaced(checks, _cooldown(), "accepted")
+    return _spaced(checks, _cooldown(), "accepted", span)
 
 
 def disabled(checks: DataFrame) -> DataFrame:
@@ -127,43 +134,43 @@ def disabled(checks: DataFrame) -> DataFrame:
     return checks.withColumns({"status": F.when(off, DISABLED).otherwise(F.col("status")), **cleared})
 
 
-def accepted_checks(checks: DataFrame) -> DataFrame:
+def accepted_checks(checks: DataFrame, span: int | None = None) -> DataFrame:
     """Classified checks that count: past interval and cooldown, or switched off."""
     gap = F.greatest(_seconds(F.col("interval_seconds")), _cooldown())
     # A switched-off row neither waits nor makes others wait, so it stays out of the chain.
     ready = disabled(checks)
-    on = _spaced(ready.filter("enabled"), gap, "accepted").filter("accepted").drop("accepted")
+    on = _spaced(ready.filter("enabled"), gap, "accepted", span).filter("accepted").drop("accepted")
     return on.unionByName(ready.filter(~F.col("enabled")))
 
 
 # --- events -------------------------------------------------------------------------
 
 
-def _with_previous(rows: DataFrame) -> DataFrame:
-    at = micros(rows, "ts")
-    chunk = F.floor(at / F.lit(measured_span(rows, ["check_id"], at))).cast("bigint")
+def _with_previous(rows: DataFrame, span: int | None = None) -> DataFrame:
+    chunk = F.floor(micros(rows, "ts") / F.lit(span or chunk_span(rows))).cast("bigint")
     seen = previous_row(rows, ["check_id"], ["ts", "event_id"], chunk, ["message_key", "status"], "before")
     changed = F.col("message_key").isNotNull() & ~F.col("message_key").eqNullSafe(F.col("before.message_key"))
     recovered = (F.col("status") == OK) & F.coalesce(F.col("before.message_key").isNotNull(), F.lit(False))
     return seen.withColumns({"starts": changed, "recovers": recovered}).drop("before")
 
 
-def new_errors(rows: DataFrame) -> DataFrame:
+def new_errors(rows: DataFrame, span: int | None = None) -> DataFrame:
     """Rows whose error differs from the current one, the first error included."""
-    return _with_previous(rows).filter("starts").drop("starts", "recovers")
+    return _with_previous(rows, span).filter("starts").drop("starts", "recovers")
 
 
-def recoveries(rows: DataFrame) -> DataFrame:
+def recoveries(rows: DataFrame, span: int | None = None) -> DataFrame:
     """OK rows right after an error."""
-    return _with_previous(rows).filter("recovers and send_recovery_email").drop("starts", "recovers")
+    return _with_previous(rows, span).filter("recovers and send_recovery_email").drop("starts", "recovers")
 
 
-def _with_kind(rows: DataFrame) -> DataFrame:
-    seen = _with_previous(rows)
+def _with_kind(rows: DataFrame, span: int | None = None) -> DataFrame:
+    span = span or chunk_span(rows)
+    seen = _with_previous(rows, span)
     failing = F.col("message_key").isNotNull()
     # The chain of reminders starts again wherever an error starts; other rows stand alone.
     gap = F.when(failing, F.col("reminder_interval_hours")).otherwise(0) * F.lit(HOUR)
-    due = _spaced(seen, gap, "due", reset=F.col("starts") | ~failing, widest=24 * HOUR)
+    due = _spaced(seen, gap, "due", span, reset=F.col("starts") | ~failing, widest=24 * HOUR)
     kind = (
         F.when(F.col("starts"), FAILURE)
         .when(F.col("message_key").isNotNull() & F.col("due"), REMINDER)
@@ -172,24 +179,35 @@ def _with_kind(rows: DataFrame) -> DataFrame:
     return due.withColumn("kind", kind).drop("due", "recovers")
 
 
-def reminders(rows: DataFrame) -> DataFrame:
+def reminders(rows: DataFrame, span: int | None = None) -> DataFrame:
     """Rows of a lasting error at least the reminder interval after its last alert or reminder."""
-    return _with_kind(rows).filter(F.col("kind") == REMINDER).drop("starts")
+    return _with_kind(rows, span).filter(F.col("kind") == REMINDER).drop("starts")
 
 
-def alert_events(rows: DataFrame) -> DataFrame:
+def alert_events(rows: DataFrame, span: int | None = None) -> DataFrame:
     """FAILURE, REMINDER and RECOVERY rows of accepted checks."""
-    return _with_kind(rows).filter(F.col("kind").isNotNull()).drop("starts")
+    return _with_kind(rows, span).filter(F.col("kind").isNotNull()).drop("starts")
 
 
 # --- summaries per check ------------------------------------------------------------
 
 
-def episodes(rows: DataFrame) -> DataFrame:
+def health_events(checks: DataFrame) -> DataFrame:
+    """From classified checks with their settings to FAILURE, REMINDER and RECOVERY rows.
+
+    The accepted checks are written down once: the steps after the gates read them
+    several times.
+    """
+    span = chunk_span(checks)
+    return alert_events(landed(accepted_checks(checks, span), "accepted"), span)
+
+
+def episodes(rows: DataFrame, span: int | None = None) -> DataFrame:
     """Runs of one error: start, end, number of checks, seconds, and whether still open."""
-    seen = _with_previous(rows).withColumn("__at", micros(rows, "ts"))
+    span = span or chunk_span(rows)
+    seen = _with_previous(rows, span).withColumn("__at", micros(rows, "ts"))
     boundary = (F.col("starts") | F.col("message_key").isNull()).cast("bigint")
-    chunk = F.floor(F.col("__at") / F.lit(measured_span(seen, ["check_id"], F.col("__at")))).cast("bigint")
+    chunk = F.floor(F.col("__at") / F.lit(span)).cast("bigint")
     numbered = running_sums(seen, ["check_id"], ["ts", "event_id"], chunk, {"run_no": boundary})
     last = numbered.groupBy("check_id").agg(F.max("run_no").alias("last_run"))
     runs = (
@@ -207,11 +225,11 @@ def episodes(rows: DataFrame) -> DataFrame:
     )
 
 
-def current_status(rows: DataFrame) -> DataFrame:
+def current_status(rows: DataFrame, span: int | None = None) -> DataFrame:
     """Latest status per check with its message, the start of its error and the last reminder."""
     place = F.struct("ts", "event_id")
     alerted = F.col("kind").isin(FAILURE, REMINDER)
-    latest = _with_kind(rows).groupBy("check_id").agg(
+    latest = _with_kind(rows, span).groupBy("check_id").agg(
         F.max_by(F.struct("status", "message_key", "ts"), place).alias("last"),
         F.max(F.when(F.col("kind") == FAILURE, F.col("ts"))).alias("onset"),
         F.max(F.when(alerted, F.col("ts"))).alias("reminded"),

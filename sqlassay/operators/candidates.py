@@ -83,10 +83,9 @@ def pair_scores(pairs: DataFrame, make_scorer: Callable[[], Scorer] | None = Non
 def best_candidate(scores: DataFrame, key: str = "item_id") -> DataFrame:
     """Highest score and its candidate, the first one on ties."""
     place = F.struct("score", -F.col("pos"))
-    scored = scores.filter(F.col("score").isNotNull())
-    return scored.groupBy(key).agg(
-        F.max_by("candidate", place).alias("best_candidate"), F.max("score").alias("best_score")
-    )
+    best = scores.groupBy(key).agg(F.max_by("candidate", place).alias("best_candidate"), F.max("score").alias("best_score"))
+    # Filtered after the aggregate: below it the filter would compute every score twice.
+    return best.filter(F.col("best_score").isNotNull())
 
 
 def label_columns(logits: Column) -> tuple[Column, Column]:

@@ -8,7 +8,10 @@ still known. Every verdict is a grouped aggregate; nothing loops over cases.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from sqlassay.functions import sqltext
 from sqlassay.functions.cells import cell, rounded
+from sqlassay.functions.rows import exploded
 from sqlassay.operators.ordered import previous_row
 from sqlassay.session import fresh_path
 
@@ -104,7 +108,8 @@ def _arranged(columns: Column, order_keys: Column, row: Column) -> Column:
             F.coalesce(F.array_position(order_keys, c["n"]), F.lit(0)).alias("last"), c["n"].alias("n"), c["v"].alias("v")
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda c: c["v"])
+    as_is = (F.sort_array(columns) == columns) & (F.size(order_keys) == 0)
+    return F.when(as_is, row).otherwise(F.transform(F.array_sort(keyed), lambda c: c["v"]))
 
 
 def arranged(results: DataFrame) -> DataFrame:
@@ -114,30 +119,35 @@ def arranged(results: DataFrame) -> DataFrame:
 # --- verdicts per case --------------------------------------------------------------
 
 
-def ordered_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Same cells at the same row and column positions; names do not matter."""
+def _in_place(results: DataFrame) -> DataFrame:
     pairs = results.groupBy("case_id", "pos").agg(
         F.max(_on_side("gold", F.col("row"))).alias("gold"), F.max(_on_side("gen", F.col("row"))).alias("gen")
     )
     equal = F.col("gold").isNotNull() & F.col("gen").isNotNull() & F.col("gold").eqNullSafe(F.col("gen"))
-    same = pairs.groupBy("case_id").agg(F.bool_and(equal).alias("same_rows"))
-    return _with_widths(same, shapes, "ordered_equal")
+    return pairs.groupBy("case_id").agg(F.bool_and(equal).alias("same_rows"))
 
 
 def _with_widths(same: DataFrame, shapes: DataFrame, name: str) -> DataFrame:
     """Cases without rows are equal if both sides have the same number of columns."""
-    width = F.size("gold_columns") == F.size("gen_columns")
     return (
         _case_shapes(shapes)
         .join(same, "case_id", "left")
-        .select("case_id", (width & F.coalesce("same_rows", F.lit(True))).alias(name))
+        .select("case_id", (_same_width() & F.coalesce("same_rows", F.lit(True))).alias(name))
     )
 
 
+def _same_width() -> Column:
+    return F.coalesce(F.size("gold_columns") == F.size("gen_columns"), F.lit(False))
+
+
+def ordered_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Same cells at the same row and column positions; names do not matter."""
+    return _with_widths(_in_place(results), shapes, "ordered_equal")
+
+
 def set_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
     """Equal as sets of rows once columns are arranged; a null equals a null."""
-    same = _set_difference(arranged(results))
-    return _with_widths(same, shapes, "set_equal")
+    return _with_widths(_set_difference(arranged(results)), shapes, "set_equal")
 
 
 def _set_difference(results: DataFrame) -> DataFrame:
@@ -165,6 +175,10 @@ def sequence_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
     Two sequences of the same distinct rows are the same if going through them in gold
     order also goes forward in the generated order. That needs the preceding row only.
     """
+    return _with_widths(_in_sequence(results), shapes, "sequence_equal")
+
+
+def _in_sequence(results: DataFrame) -> DataFrame:
     places = (
         arranged(results)
         .groupBy("case_id", "row")
@@ -180,8 +194,7 @@ def sequence_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
     )
     forward = F.col("before").isNull() | F.coalesce(F.col("before.gen") < F.col("gen"), F.lit(False))
     both = F.col("gold").isNotNull() & F.col("gen").isNotNull()
-    same = placed.groupBy("case_id").agg(F.bool_and(both & forward).alias("same_rows"))
-    return _with_widths(same, shapes, "sequence_equal")
+    return placed.groupBy("case_id").agg(F.bool_and(both & forward).alias("same_rows"))
 
 
 def _column_prints(results: DataFrame) -> DataFrame:
@@ -213,40 +226,32 @@ def column_match(results: DataFrame) -> DataFrame:
     return paired.filter("gold_ordinal is not null").select("case_id", "gold_ordinal", "gen_ordinal")
 
 
-def _matches(results: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Per case the generated ordinal of every gold column, in gold order, where all are matched."""
+def _contained(results: DataFrame) -> DataFrame:
+    """Cases whose gold columns all have a partner and agree with them row by row."""
     lists = column_match(results).groupBy("case_id").agg(
         F.array_sort(F.collect_list(F.struct("gold_ordinal", "gen_ordinal"))).alias("pairs")
     )
-    complete = ~F.exists("pairs", lambda p: p["gen_ordinal"].isNull())
-    wide = F.size("pairs") == F.size("gold_columns")
-    return (
-        lists.join(_case_shapes(shapes), "case_id")
-        .filter(complete & wide)
-        .select("case_id", F.transform("pairs", lambda p: p["gen_ordinal"]).alias("picks"))
+    picks = lists.filter(~F.exists("pairs", lambda p: p["gen_ordinal"].isNull())).select(
+        "case_id", F.transform("pairs", lambda p: p["gen_ordinal"]).alias("picks")
     )
-
-
-def subset_match(results: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Gold is contained in the generated result: extra columns may occur, extra rows may not."""
-    picks = _matches(results, shapes)
     # The list of picks is one small row per case; AQE broadcasts it when its measured size
     # allows and splits a busy case otherwise.
-    picked = (
-        results.join(picks, "case_id")
-        .withColumn(
-            "row",
-            F.when(F.col("side") == "gold", F.col("row")).otherwise(
-                F.transform("picks", lambda i: F.get("row", i))
-            ),
-        )
-        .drop("picks")
+    picked = results.join(picks, "case_id").withColumn(
+        "row",
+        F.when(F.col("side") == "gold", F.col("row")).otherwise(F.transform("picks", lambda i: F.get("row", i))),
     )
-    same = _set_difference(picked).filter("same_rows").select("case_id", F.lit(True).alias("matched"))
+    return _set_difference(picked)
+
+
+def subset_match(results: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Gold is contained in the generated result: extra columns may occur, extra rows may not.
+
+    An empty gold result is contained in nothing.
+    """
     return (
         _case_shapes(shapes)
-        .join(same, "case_id", "left")
-        .select("case_id", F.coalesce("matched", F.lit(False)).alias("subset_match"))
+        .join(_contained(results), "case_id", "left")
+        .select("case_id", F.coalesce("same_rows", F.lit(False)).alias("subset_match"))
     )
 
 
@@ -260,7 +265,7 @@ def order_sensitive(cases: DataFrame) -> DataFrame:
 
 def order_keys(cases: DataFrame, sql: str = "query") -> DataFrame:
     """One row per ORDER BY key with its own direction, ascending unless DESC is written."""
-    keys = cases.select("case_id", F.posexplode(sqltext.order_items(F.col(sql))).alias("key_no", "item"))
+    keys = exploded(cases, ["case_id"], sqltext.order_items(F.col(sql)), "item", "key_no")
     return keys.select(
         "case_id",
         (F.col("key_no") + 1).alias("key_no"),
@@ -272,7 +277,7 @@ def order_keys(cases: DataFrame, sql: str = "query") -> DataFrame:
 def alternatives(cases: DataFrame, sql: str = "query") -> DataFrame:
     """Gold text split at ``;`` into alternatives, blank parts dropped."""
     parts = F.filter(F.transform(F.split(F.col(sql), ";"), lambda p: F.trim(p)), lambda p: p != "")
-    return cases.select("case_id", F.posexplode(parts).alias("alternative", "alternative_sql"))
+    return exploded(cases, ["case_id"], parts, "alternative_sql", "alternative")
 
 
 MAX_BRACE_COLUMNS = 20
@@ -308,7 +313,7 @@ def expand_braces(alternatives: DataFrame, sql: str = "alternative_sql") -> Data
         ),
     ).otherwise(F.array(text))
     keep = [c for c in alternatives.columns if c != sql]
-    return alternatives.select(*keep, F.posexplode(variants).alias("variant", "variant_sql"))
+    return exploded(alternatives, keep, variants, "variant_sql", "variant")
 
 
 def any_gold(verdicts: DataFrame) -> DataFrame:
@@ -321,14 +326,6 @@ def any_gold(verdicts: DataFrame) -> DataFrame:
 # --- running cases ------------------------------------------------------------------
 
 
-def _land(spark: SparkSession, path: str, case_id: int, side: str, sql: str, keys: list[str], decimals) -> list[str]:
-    """Run one statement and write its rows; returns its column names."""
-    df = dedup_names(spark.sql(sql))
-    place = F.monotonically_increasing_id()  # follows the order the statement asked for
-    to_long(df, F.lit(case_id), side, place, df.columns, keys, decimals).write.mode("append").parquet(path)
-    return df.columns
-
-
 def _keys_per_statement(spark: SparkSession, cases: Sequence[tuple[int, str, str]]) -> dict[str, list[str]]:
     """ORDER BY key names of each statement text."""
     texts = spark.createDataFrame([(sql,) for case in cases for sql in case[1:]], "sql string")
@@ -337,29 +334,52 @@ def _keys_per_statement(spark: SparkSession, cases: Sequence[tuple[int, str, str
 
 
 def run_cases(
-    spark: SparkSession, cases: Sequence[tuple[int, str, str]], decimals: int | None = None
+    spark: SparkSession,
+    cases: Sequence[tuple[int, str, str]],
+    decimals: int | None = None,
+    at_once: int = 8,
+    timeout: float | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run gold and generated statements ``(case_id, gold, gen)`` against the current views.
 
-    Returns (long results, shapes, errors). The driver only submits statements; rows go
-    from the executors to the shared folder. A failing statement is an error record.
+    Returns (long results, shapes, errors). The driver only submits statements, ``at_once``
+    at a time; rows go from the executors to the shared folder. A statement that fails, or
+    runs longer than ``timeout`` seconds, is an error record.
     """
     path = fresh_path(spark, "results")
-    spark.createDataFrame([], LONG_SCHEMA).write.mode("append").parquet(path)
+    spark.createDataFrame([], LONG_SCHEMA).write.parquet(f"{path}/none")
     keys = _keys_per_statement(spark, cases)
-    shapes, errors = [], []
-    for case_id, gold, gen in cases:
-        for side, sql in (("gold", gold), ("gen", gen)):
-            try:
-                shapes.append((case_id, side, _land(spark, path, case_id, side, sql, keys[sql], decimals)))
-            except Exception as error:  # noqa: BLE001 - whatever the statement raised becomes its record
-                name = "Gold" if side == "gold" else "Generated"
-                reason = error.getCondition() if isinstance(error, PySparkException) else None
-                errors.append((case_id, side, f"{name} query failed to execute: {reason or type(error).__name__}"))
-    # Partition-wise ids have gaps; positions are made dense per case and side below.
-    results = dense_positions(spark.read.schema(LONG_SCHEMA).parquet(path))
+
+    def land(case_id: int, side: str, sql: str) -> tuple[list[str] | None, str | None]:
+        tag = uuid.uuid4().hex
+        spark.addTag(tag)
+        alarm = threading.Timer(timeout, spark.interruptTag, [tag]) if timeout else None
+        if alarm:
+            alarm.start()
+        try:
+            df = dedup_names(spark.sql(sql))
+            place = F.monotonically_increasing_id()  # follows the order the statement asked for
+            rows = to_long(df, F.lit(case_id), side, place, df.columns, keys[sql], decimals)
+            rows.write.parquet(f"{path}/{case_id}-{side}")
+            return df.columns, None
+        except Exception as error:  # noqa: BLE001 - whatever the statement raised becomes its record
+            reason = error.getCondition() if isinstance(error, PySparkException) else None
+            name = "Gold" if side == "gold" else "Generated"
+            return None, f"{name} query failed to execute: {reason or type(error).__name__}"
+        finally:
+            if alarm:
+                alarm.cancel()
+            spark.removeTag(tag)
+
+    todo = [(case_id, side, sql) for case_id, *both in cases for side, sql in zip(("gold", "gen"), both)]
+    with ThreadPoolExecutor(at_once) as pool:
+        landed = list(pool.map(lambda t: land(*t), todo))
+    shapes = [(c, s, columns) for (c, s, _), (columns, _) in zip(todo, landed) if columns is not None]
+    errors = [(c, s, message) for (c, s, _), (_, message) in zip(todo, landed) if message]
+    # Only folders of finished statements are read.
+    folders = [f"{path}/none", *[f"{path}/{c}-{s}" for c, s, _ in shapes]]
     return (
-        results,
+        dense_positions(spark.read.schema(LONG_SCHEMA).parquet(*folders)),
         spark.createDataFrame(shapes, SHAPE_SCHEMA),
         spark.createDataFrame(errors, "case_id bigint, side string, exec_error_msg string"),
     )
@@ -391,18 +411,27 @@ def verdicts(cases: DataFrame, results: DataFrame, shapes: DataFrame, errors: Da
     position, or equal after normalising: as a set, or as a sequence where order matters
     and the statements leave it open. Correct adds the subset match.
     """
-    keyed = results.groupBy("case_id").agg(F.bool_and(F.size("order_keys") > 0).alias("both_ordered"))
     flags = order_sensitive(cases).select("case_id", "order_sensitive")
-    joined = (
-        flags.join(keyed, "case_id", "left")
-        .join(ordered_equal(results, shapes), "case_id", "left")
-        .join(set_equal(results, shapes), "case_id", "left")
-        .join(sequence_equal(results, shapes), "case_id", "left")
-        .join(subset_match(results, shapes), "case_id", "left")
-    )
+    # Only cases that may need it go through the sequence test.
+    in_order = results.join(flags.filter("order_sensitive").select("case_id"), "case_id", "left_semi")
+    ordered_text = results.groupBy("case_id").agg(F.bool_and(F.size("order_keys") > 0).alias("same_rows"))
+    tests = {
+        "ordered_equal": _in_place(results),
+        "set_equal": _set_difference(arranged(results)),
+        "sequence_equal": _in_sequence(in_order),
+        "contained": _contained(results),
+        "both_ordered": ordered_text,
+    }
+    # One row per case and test, brought together by one small aggregate.
+    told = None
+    for name, same in tests.items():
+        rows = same.select("case_id", F.lit(name).alias("test"), "same_rows")
+        told = rows if told is None else told.unionByName(rows)
+    told = told.groupBy("case_id").agg(*[F.bool_or(F.when(F.col("test") == n, F.col("same_rows"))).alias(n) for n in tests])
+    joined = flags.join(_case_shapes(shapes), "case_id", "left").join(told, "case_id", "left")
     free = ~F.col("order_sensitive") | F.coalesce("both_ordered", F.lit(False))
-    normalised = F.when(free, F.col("set_equal")).otherwise(F.col("sequence_equal"))
-    exact = F.coalesce(F.col("ordered_equal") | normalised, F.lit(False))
+    normalised = F.when(free, F.coalesce("set_equal", F.lit(True))).otherwise(F.coalesce("sequence_equal", F.lit(True)))
+    exact = _same_width() & (F.coalesce("ordered_equal", F.lit(True)) | normalised)
     message = F.lit("")
     failed = F.lit(False)
     if errors is not None:
@@ -414,7 +443,7 @@ def verdicts(cases: DataFrame, results: DataFrame, shapes: DataFrame, errors: Da
         "case_id",
         F.when(failed, 0).otherwise(exact.cast("int")).alias("exact_match"),
         F.when(failed, 0)
-        .otherwise((exact | F.coalesce("subset_match", F.lit(False))).cast("int"))
+        .otherwise((exact | F.coalesce("contained", F.lit(False))).cast("int"))
         .alias("correct"),
         failed.cast("int").alias("error_db_exec"),
         message.alias("exec_error_msg"),

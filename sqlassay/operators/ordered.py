@@ -22,6 +22,7 @@ from sqlassay.functions.times import DAY, HOUR, SECOND
 
 CHUNK = "__chunk"
 ALWAYS, NEVER = -(2**62), 2**62
+WIDEST = 3650 * DAY
 
 
 def _chunk_window(keys: Sequence[str]) -> Window:
@@ -29,13 +30,14 @@ def _chunk_window(keys: Sequence[str]) -> Window:
 
 
 def measured_span(df: DataFrame, keys: Sequence[str], at: Column, target: int = 1_000_000) -> int:
-    """Chunk width in microseconds that keeps the busiest key near ``target`` rows per chunk.
+    """Chunk width in microseconds that keeps every key below ``target`` rows per chunk.
 
-    One number comes back to the driver, from a count per key and hour.
+    One number comes back to the driver: the rows of the busiest hour of any key. Sparse
+    keys get wide chunks, so that most of them are a single one.
     """
     hours = df.select(*keys, F.floor(at / F.lit(HOUR)).alias("__hour")).groupBy(*keys, "__hour").count()
     busiest = hours.agg(F.max("count")).first()[0] or 1
-    return DAY if busiest * 24 <= target else max(SECOND, HOUR * target // busiest)
+    return min(max(SECOND, HOUR * target // busiest), WIDEST)
 
 
 def previous_row(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sqlassay.functions import text as tx
 from sqlassay.functions.cells import half_even
+from sqlassay.functions.rows import exploded, let
 from sqlassay.operators.judge import score_row
 from sqlassay.sources.tables import small_table
 
@@ -33,9 +34,8 @@ def is_json(rows: DataFrame, text: str = "output") -> DataFrame:
 
 def levenshtein_ratio(pairs: DataFrame) -> DataFrame:
     output, reference = F.col("output"), F.col("reference")
-    return pairs.withColumns(
-        {"score": tx.levenshtein_score(output, reference), "distance": tx.levenshtein_distance(output, reference)}
-    )
+    measured = pairs.withColumn("distance", tx.levenshtein_distance(output, reference))
+    return measured.withColumn("score", tx.score_of_distance(output, reference, F.col("distance")))
 
 
 def _says(score: Column, yes: str, no: str, rest: str) -> Column:
@@ -70,12 +70,15 @@ def json_metric(output: Column, reference: Column) -> Column:
 
 
 def levenshtein_metric(output: Column, reference: Column) -> Column:
-    distance = tx.levenshtein_distance(output, reference)
-    score = tx.levenshtein_score(output, reference)
-    reason = F.when(distance < 0, F.lit("Inputs must be strings.")).otherwise(
-        F.format_string("Levenshtein distance: %d. Similarity ratio: %.4f.", distance, half_even(score, 4))
-    )
-    return score_row("levenshtein_ratio", score, reason, F.create_map(F.lit("distance"), distance.cast("string")))
+    def row(distance: Column) -> Column:
+        score = tx.score_of_distance(output, reference, distance)
+        reason = F.when(distance < 0, F.lit("Inputs must be strings.")).otherwise(
+            F.format_string("Levenshtein distance: %d. Similarity ratio: %.4f.", distance, half_even(score, 4))
+        )
+        return score_row("levenshtein_ratio", score, reason, F.create_map(F.lit("distance"), distance.cast("string")))
+
+    # The distance is the costly part and is used five times.
+    return let(tx.levenshtein_distance(output, reference), row)
 
 
 METRICS: dict[str, Metric] = {
@@ -89,7 +92,7 @@ METRICS: dict[str, Metric] = {
 def score_rows(pairs: DataFrame, metrics: Mapping[str, Metric] = METRICS, key: str = "pair_id") -> DataFrame:
     """One score row per (pair, metric): ``name, score, reason, metadata``."""
     rows = F.array(*[m(F.col("output"), F.col("reference")) for m in metrics.values()])
-    return pairs.select(key, F.explode(rows).alias("row")).select(key, "row.*")
+    return exploded(pairs, [key], rows, "row").select(key, "row.*")
 
 
 # Metrics per use case; the flag says whether one needs a reference.

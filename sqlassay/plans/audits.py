@@ -27,7 +27,7 @@ def _issues(*rules: str):
 
 
 def q8(spark: SparkSession, d: str) -> DataFrame:
-    return audit.issue_report(_log(spark, d)).filter("n_issues > 0")
+    return audit.issue_report(_log(spark, d))
 
 
 def q9(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +235,7 @@ ORACLES = {
     "Q5_inner_semicolon": _issue_oracle(31, 31),
     "Q6_join_without_condition": _issue_oracle(32, 32),
     "Q7_union_notice": _issue_oracle(33, 33),
-    "Q8_issue_report": f"{_ALL_ISSUES}, {_REPORT} SELECT query_id, CAST(n_issues AS INT) AS n_issues, report FROM report",
+    "Q8_issue_report": f"{_ALL_ISSUES}, {_REPORT} SELECT q.query_id, CAST(coalesce(n_issues, 0) AS INT) AS n_issues, report FROM {{query_log}} q LEFT JOIN report r ON q.query_id = r.query_id",
     "Q9_safety_score": f"WITH {_LINT}, {_SAFETY} SELECT query_id, CASE WHEN reason = 'Pass' THEN 0.0 ELSE 1.0 END::DOUBLE AS score, reason FROM safety",
     "Q10_table_refs": f"""SELECT query_id, (query_id % 18) IN (3, 11, 17) AS unparsed, table_name FROM {{query_log}} q
         LEFT JOIN {_TABLE_TRUTH} ON query_id % 18 = kind WHERE kind IS NOT NULL OR (query_id % 18) IN (3, 11, 17)""",

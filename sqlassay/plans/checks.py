@@ -70,7 +70,7 @@ def h11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return al.alert_events(al.accepted_checks(_classified(spark, d, WHOLE)))
+    return al.health_events(_classified(spark, d, WHOLE))
 
 
 def h12(spark: SparkSession, d: str) -> DataFrame:

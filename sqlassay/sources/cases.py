@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlassay.functions.rows import exploded
+
 REQUIRED = ["question", "query", "data_csv_files"]
 OPTIONAL = {
     "query_category": "default",
@@ -40,7 +42,7 @@ def load_cases(spark: SparkSession, path: str, n: int | None = None, key: str |
 def case_files(cases: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row per (case, file), with ``exists`` where the existing ``files`` are given."""
     names = F.filter(F.transform(F.split("data_csv_files", ","), lambda f: F.trim(f)), lambda f: f != "")
-    rows = cases.select("case_id", F.posexplode(names).alias("file_no", "file"))
+    rows = exploded(cases, ["case_id"], names, "file", "file_no")
     if files is None:
         return rows
     known = files.select("file", F.lit(True).alias("exists")).distinct()
