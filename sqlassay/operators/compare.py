@@ -349,11 +349,12 @@ def run_cases(
     path = fresh_path(spark, "results")
     spark.createDataFrame([], LONG_SCHEMA).write.parquet(f"{path}/none")
     keys = _keys_per_statement(spark, cases)
+    context = spark.sparkContext
 
     def land(case_id: int, side: str, sql: str) -> tuple[list[str] | None, str | None]:
-        tag = uuid.uuid4().hex
-        spark.addTag(tag)
-        alarm = threading.Timer(timeout, spark.interruptTag, [tag]) if timeout else None
+        group = uuid.uuid4().hex
+        context.setJobGroup(group, f"case {case_id} {side}", interruptOnCancel=True)
+        alarm = threading.Timer(timeout, context.cancelJobGroup, [group]) if timeout else None
         if alarm:
             alarm.start()
         try:
@@ -369,7 +370,6 @@ def run_cases(
         finally:
             if alarm:
                 alarm.cancel()
-            spark.removeTag(tag)
 
     todo = [(case_id, side, sql) for case_id, *both in cases for side, sql in zip(("gold", "gen"), both)]
     with ThreadPoolExecutor(at_once) as pool:
