@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Doubles carry summation noise in their last digits; nine decimals drop it.
-NOISE_DECIMALS = 9
+# Sums of doubles differ in their last digits with the order of the rows; these digits hold.
+SIGNIFICANT_DIGITS = 12
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -19,7 +19,16 @@ def half_even(value: Column, decimals: int) -> Column:
 
     ``bround`` rounds the printed decimals instead: 0.5015 is below the half in binary.
     """
-    return F.rint(value * F.lit(float(10**decimals))) / F.lit(float(10**decimals))
+    scale = F.lit(float(10**decimals))
+    # Beyond 1e15 a double has no fraction left to round.
+    return F.when(F.abs(value) < F.lit(1e15), F.rint(value * scale) / scale).otherwise(value)
+
+
+def significant(value: Column, digits: int = SIGNIFICANT_DIGITS) -> Column:
+    """A double to so many significant digits."""
+    scale = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(value))).cast("double"))
+    usual = F.abs(value).between(1e-200, 1e200)
+    return F.when(usual, F.rint(value * scale) / scale).otherwise(value)
 
 
 def rounded(col: Column, dtype: T.DataType, decimals: int | None) -> Column:
@@ -31,14 +40,28 @@ def rounded(col: Column, dtype: T.DataType, decimals: int | None) -> Column:
     return half_even(col.cast("double"), decimals)
 
 
+def _short(decimal_text: Column) -> Column:
+    """Closing zeros of a decimal fraction off."""
+    return F.regexp_replace(F.regexp_replace(decimal_text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def cell(col: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
-    """Canonical text of a value: 1, 1.0 and DECIMAL 1.00 agree, NaN counts as null."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        value = half_even(col.cast("double"), decimals or NOISE_DECIMALS)
-        whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
+    """Canonical text of a value: 1, 1.0 and DECIMAL 1.00 agree, NaN counts as null.
+
+    Decimals keep all their digits; doubles are written without an exponent while they
+    are small enough to be exact.
+    """
+    if isinstance(dtype, T.DecimalType):
+        text = rounded(col, dtype, decimals).cast("string")
+        return _short(text) if dtype.scale else text
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        number = col.cast("double")
+        value = half_even(number, decimals) if decimals else significant(number)
+        small = F.abs(value) < F.lit(1e15)
         return (
             F.when(F.isnan(value), F.lit(None).cast("string"))
-            .when(whole, value.cast("bigint").cast("string"))
+            .when(small & (value == F.floor(value)), value.cast("bigint").cast("string"))
+            .when(small, _short(value.cast("decimal(38,20)").cast("string")))
             .otherwise(value.cast("string"))
         )
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):

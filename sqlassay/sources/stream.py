@@ -9,13 +9,13 @@ from sqlassay.session import fresh_path
 
 
 def check_stream(
-    spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 64
 ) -> DataFrame:
-    """Parquet files of check results as a stream."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    """Parquet files of check results as a stream, a bounded number of files per batch.
+
+    A batch holds the rows of one check in one task, so its size bounds that task.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

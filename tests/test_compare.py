@@ -198,6 +198,20 @@ def test_rounding_is_half_even_and_zero_means_none(spark):
     assert [r["x"] for r in compare.round_all(df, 0).collect()] == [0.125, 0.375]
 
 
+def test_cells_of_different_types_agree(spark):
+    from sqlassay.functions.cells import cell
+
+    df = spark.sql(
+        "SELECT 2 AS i, 2.0D AS d, 2.00BD AS m, 0.00001D AS small, 0.0000100BD AS small_m, 0.1D + 0.2D AS noise, "
+        "0.30BD AS plain, 1e9D + 1e-7D AS near, 1000000000 AS far, cast('NaN' AS double) AS nan, 12345678901234567890.12BD AS big, 1e300D AS huge, 100BD AS hundred"
+    )
+    got = df.select(*[cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert got["i"] == got["d"] == got["m"] == "2" and got["nan"] is None and got["hundred"] == "100"
+    assert got["small"] == got["small_m"] == "0.00001" and got["noise"] == got["plain"] == "0.3"
+    assert got["near"] == got["far"]
+    assert got["big"] == "12345678901234567890.12" and got["huge"] == "1.0E300"
+
+
 def test_repeated_names(spark):
     df = spark.sql("SELECT 1 AS b, 2 AS a, 3 AS b")
     assert compare.dedup_names(df).columns == ["b_0", "a", "b_2"]
