@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlassay.functions.text import fill_from, placeholders, token_count
+from sqlassay.sources.tables import small_table
 
 _ANSWER = '\nAnswer with one JSON object: {"score": <number>, "reason": "<short explanation>"}'
 
@@ -82,16 +83,16 @@ TEMPLATE_SCHEMA = "metric string, best double, scale double, defaulted array<str
 
 def templates(spark: SparkSession) -> DataFrame:
     """The template table; a handful of rows."""
-    return spark.createDataFrame([(*t[:-1], t[-1] + _ANSWER) for t in TEMPLATES], TEMPLATE_SCHEMA)
+    return small_table(spark, [(*t[:-1], t[-1] + _ANSWER) for t in TEMPLATES], TEMPLATE_SCHEMA)
 
 
 def judge_requests(items: DataFrame, template_table: DataFrame, key: str = "item_id") -> DataFrame:
     """One request per (item, metric): the filled prompt, or what is missing for it.
 
-    Items carry ``metric`` and any of ``FIELDS``. The template table is fixed in size and
-    is broadcast.
+    Items carry ``metric`` and any of ``FIELDS``. The size of an inline template table is
+    known to the planner, which broadcasts it; a larger table of the caller is shuffled.
     """
-    joined = items.join(F.broadcast(template_table), "metric")
+    joined = items.join(template_table, "metric")
     values = {f: F.col(f).cast("string") if f in items.columns else F.lit(None).cast("string") for f in FIELDS}
     filled = {
         f: F.when(v.isNull() & F.array_contains("defaulted", f), F.lit("N/A")).otherwise(v) for f, v in values.items()

@@ -58,6 +58,8 @@ CATALOG_SCHEMA = "schema_id bigint, table_name string, ordinal int, column_name
 def _literal(value) -> str:
     if value is None:
         return "NULL"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_literal(v) for v in value) + ")"
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return str(value)
