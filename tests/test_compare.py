@@ -187,7 +187,7 @@ def test_run_cases_end_to_end(spark):
 
 def test_slow_statement_is_cut_off(spark):
     spark.range(10).createOrReplaceTempView("tiny")
-    slow = "SELECT max(sha2(repeat(cast(id as string), 200), 512)) AS m FROM range(10000000)"
+    slow = "SELECT max(sha2(repeat(cast(id as string), 200), 512)) AS m FROM range(80000000)"
     _, _, errors = compare.run_cases(spark, [(1, "SELECT id FROM tiny", slow)], timeout=2.0)
     assert [(r["case_id"], r["side"]) for r in errors.collect()] == [(1, "gen")]
 
