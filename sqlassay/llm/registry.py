@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlassay.llm import block_names
+from sqlassay.llm import block_names, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.verdicts(rules.ledger(_documents(spark, sf_dir)))
+    return found.select("doc_id", *rules.MEASURES[:5], "base_failed", "kept", "n_lines", "n_capitals", "failed")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_dedup(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op3_quality_rules": op3,
     "op4_exact_dedup": op4,
 }
 
 ORACLES = {
+    "op3_quality_rules": r"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+        wins AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM cut WHERE len(words) >= 5)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            len(lines) AS n_lines, length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_capitals
+            FROM cut LEFT JOIN covered USING (doc_id)),
+        f AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+            + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+            + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
+            + CASE WHEN 100 * n_capitals > 30 * word_chars THEN 64 ELSE 0 END AS failed FROM m)
+        SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f""",
     "op4_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
         doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
