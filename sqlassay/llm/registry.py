@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlassay.llm import block_names, rules
+from sqlassay.llm import block_names, covering, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_dedup(_documents(spark, sf_dir))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covering.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", covering.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_quality_rules": op3,
     "op4_exact_dedup": op4,
+    "op9_simhash_near_dedup": op9,
 }
 
 ORACLES = {
