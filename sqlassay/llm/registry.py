@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlassay.llm import block_names, covering, rules
+from sqlassay.llm import block_names, covering, fuzzy_lines, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_dedup(_documents(spark, sf_dir))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_classes(_documents(spark, sf_dir)).drop("doc_key")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covering.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", covering.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -28,6 +32,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality_rules": op3,
     "op4_exact_dedup": op4,
+    "op7_line_dedup": op7,
     "op9_simhash_near_dedup": op9,
 }
 
