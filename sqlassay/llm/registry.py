@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlassay.llm import block_names, covering, fuzzy_lines, rules
+from sqlassay.llm import block_names, covering, fuzzy_lines, rules, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.verdicts(rules.ledger(_documents(spark, sf_dir)))
     return found.select("doc_id", *rules.MEASURES[:5], "base_failed", "kept", "n_lines", "n_capitals", "failed")
@@ -30,6 +35,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2,
     "op3_quality_rules": op3,
     "op4_exact_dedup": op4,
     "op7_line_dedup": op7,
