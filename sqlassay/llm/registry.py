@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqlassay.llm import block_names, covering, fuzzy_lines, rules, toxicity
+from sqlassay.llm import block_names, covering, fuzzy_lines, packing, resampling, rules, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_dedup(_documents(spark, sf_dir))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return resampling.resample(docs, resampling.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_classes(_documents(spark, sf_dir)).drop("doc_key")
 
@@ -38,7 +47,9 @@ QUERIES = {
     "op2_toxicity": op2,
     "op3_quality_rules": op3,
     "op4_exact_dedup": op4,
+    "op6_best_fit_packing": op6,
     "op7_line_dedup": op7,
+    "op8_importance_resampling": op8,
     "op9_simhash_near_dedup": op9,
 }
 
