@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sqlassay.llm import block_names, covering, fuzzy_lines, packing, resampling, rules, toxicity
+from sqlassay.llm import block_names, covering, fuzzy_lines, licenses, packing, pieces, quotes, resampling, rules, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_documents(spark, sf_dir))
+    names = F.array_join(F.transform("licenses", lambda span: span["license"]), "; ")
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("names"), F.array_max(F.transform("licenses", lambda span: span["coverage"])).alias("coverage"), "licenses")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.scores(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -25,6 +32,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_dedup(_documents(spark, sf_dir))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text")))
+    return rows.select("doc_id", F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_digest"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -43,14 +55,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", covering.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
+    "op1_license_scan": op1,
     "op2_toxicity": op2,
     "op3_quality_rules": op3,
     "op4_exact_dedup": op4,
+    "op5_pieces": op5,
     "op6_best_fit_packing": op6,
     "op7_line_dedup": op7,
     "op8_importance_resampling": op8,
     "op9_simhash_near_dedup": op9,
+    "op10_quotation_linking": op10,
 }
 
 ORACLES = {
