@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlassay.functions.rows import let
+from sqlassay.functions.rows import exploded, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 5
@@ -135,4 +135,6 @@ def kept_documents(docs: DataFrame, policy: str | Sequence[str] = "prose-2") ->
     """The rows of ``docs``, with all their columns, that the policy keeps."""
     whole = F.struct(*docs.columns).alias("_row")
     rows = docs.select(F.col("doc_id"), F.col("text"), whole)
-    return verdicts(ledger(rows, "_row"), policy).filter("kept").select("_row.*")
+    judged = verdicts(ledger(rows, "_row"), policy)
+    # A filter on the verdict would be pushed below the measurements and compute them anew for each of its terms.
+    return exploded(judged, [], F.array(F.when(F.col("kept"), F.col("_row"))), "_row").select("_row.*")
