@@ -156,11 +156,11 @@ class Scanner:
             if reach is not None and start - reach < slack // 2:
                 continue  # the same window but for a few words
             reach = start
-            low = max(0, start - slack)
-            window = words[low : start + size + slack]
-            pairs = patience(template, window)
-            if pairs and len(pairs) >= self.coverage * size:
-                yield len(pairs) / size, size, low + pairs[0][1], low + pairs[-1][1], name
+            for room in (0, slack):  # without room first: beside itself a notice has no unique words
+                low = max(0, start - room)
+                pairs = patience(template, words[low : start + size + room])
+                if pairs and len(pairs) >= self.coverage * size:
+                    yield len(pairs) / size, size, low + pairs[0][1], low + pairs[-1][1], name
 
 
 _SPANS = ArrayType(StructType([StructField("license", StringType()), StructField("coverage", DoubleType()), StructField("first", IntegerType()), StructField("end", IntegerType())]))

@@ -115,10 +115,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
         placed = best_fit(frame["length"].tolist(), known("source"), known("cluster"), capacity)
         frame["bin_id"] = [(int(frame["shard"].iloc[0]) << 32) + number for number, _ in placed]
         frame["bin_offset"] = [offset for _, offset in placed]
-        return frame[["doc_id", "piece", "start", "length", "bin_id", "bin_offset"]].astype({"doc_id": "Int64"})
+        return frame[["doc_id", "piece", "start", "length", "bin_id", "bin_offset"]].astype({"doc_id": "Int64"} if kind in ("int", "bigint") else {})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     schema = f"doc_id {kind}, piece bigint, start bigint, length bigint, bin_id bigint, bin_offset bigint"
     return dealt.groupBy("shard").applyInPandas(packed, schema)
 
