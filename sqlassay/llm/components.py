@@ -15,9 +15,22 @@ from pyspark.sql import functions as F
 from sqlassay.session import landed
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, least): the smallest neighbour of each u. Written down, so that a join with it can split a hub's rows."""
-    return landed(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
+#: So many comparisons per member, at most, are made pair by pair before members of a bucket are linked to one of them first.
+PAIRS_PER_MEMBER = 8
+
+
+def apart(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of an aggregate with its integer key as ``_key``, negated, so that a join on ``~key`` deals both sides anew.
+
+    Only then can a hub's rows, a third of a side perhaps, be split among tasks.
+    """
+    return rows.select(F.bitwise_not(key).alias("_key"), *[c for c in rows.columns if c != key])
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the smallest neighbour of u."""
+    least = apart(edges.groupBy("u").agg(F.min("v").alias("least")), "u")
+    return edges.join(least, F.bitwise_not(edges["u"]) == least["_key"]).drop("_key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,53 +38,61 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the two star steps of distributed union-find: every node hands its larger
     neighbours to its smallest one, then its smaller ones, until nothing changes. Both steps
-    are a grouped minimum and a join.
+    are a grouped minimum and a join; each round is written to the shared folder.
     """
-    edges = landed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
-        large = landed(large.distinct(), "edges")
-        small = large.join(_least(large), "u")
-        small = small.filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
-        edges = landed(small.distinct(), "edges")
-        print_ = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("mix")).first()
-        if print_ == before:
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
+        small = _with_least(large)
+        small = small.select(F.explode(F.when(F.col("v") != F.col("least"), F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).otherwise(F.array(F.struct("u", "v")))).alias("e"))
+        edges = landed(small.select("e.u", "e.v").distinct(), "edges")
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if mark == before:
             break
-        before = print_
+        before = mark
     # Each node is now linked to its root alone.
-    return landed(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked_in_buckets(members: DataFrame, similar: Callable[[DataFrame], DataFrame], stars: int = 3) -> DataFrame:
+def linked_in_buckets(members: DataFrame, similar: Callable[[DataFrame], DataFrame], stars: int = 4, pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
     """Components of the graph that links similar members of a common bucket: (node, root).
 
-    ``members`` holds (bucket, id), each once; ``similar`` keeps of a table of pairs (u, v) those that
-    are similar. Pairs of a bucket are not listed: each of ``stars`` rounds compares a
-    bucket's members with one of them. What is linked by then needs no comparison any more;
-    only members of *different* components that still share a bucket are compared pair by
-    pair, so that no link between components is missed. Nodes without a link are left out.
+    ``members`` is a written table of (bucket, id), each once; ``similar`` keeps of a table of pairs (u, v)
+    those that are similar. While listing the pairs of a bucket would take more than
+    ``pairs_per_member`` comparisons per member, a bucket's members are compared with one of them
+    only, and what is linked by then needs no comparison any more. In the end the
+    members of *different* components that still share a bucket are compared pair by pair,
+    so no link between components is missed. Nodes without a link are left out.
     """
-    members = landed(members, "members")
-    edges: list[DataFrame] = []
     found: DataFrame | None = None
-    rest = members.withColumn("comp", F.col("id"))
     for turn in range(stars + 1):
-        if turn:
-            rest = members.join(found, members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
-        mixed = landed(rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(_mixed("id", turn).alias("order"), "id", "comp")).alias("pivot")).filter("low != high").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "mixed")
-        if mixed.isEmpty():
+        rest = members.withColumn("comp", F.col("id"))
+        if found is not None:
+            rest = landed(members.join(found, members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "members")
+        mixed = rest.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(_mixed("id", turn).alias("order"), "id", "comp")).alias("pivot")
+        )
+        mixed = landed(mixed.filter("low != high").select("bucket", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "mixed")
+        size = mixed.agg(F.sum("n").alias("members"), F.sum(F.expr("cast(n AS double) * (n - 1) / 2")).alias("pairs")).first()
+        if not size["members"]:
             break
+        last = turn == stars or size["pairs"] <= pairs_per_member * size["members"]
         open_rows = rest.join(mixed, "bucket")
-        if turn < stars:
-            pairs = open_rows.filter("comp != pivot_comp").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
-        else:
-            open_rows = landed(open_rows.select("bucket", "id", "comp"), "open")
+        if last:
+            open_rows = open_rows.select("bucket", "id", "comp")
             other = open_rows.select("bucket", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
             pairs = open_rows.join(other, "bucket").filter("comp < other_comp").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
-        edges.append(landed(similar(pairs.distinct()), "links"))
-        found = components(reduce(DataFrame.unionByName, edges))
+        else:
+            pairs = open_rows.filter("comp != pivot_comp").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
+        links = landed(similar(pairs.distinct()), "links")
+        if not links.isEmpty():
+            # What is linked already is one edge per node from here on.
+            known = [found.select(F.col("node").alias("u"), F.col("root").alias("v"))] if found is not None else []
+            found = components(reduce(DataFrame.unionByName, [links, *known]))
+        if last:
+            break
     if found is None:
         return members.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
     return found

@@ -71,9 +71,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     nodes = prints.select("fp").distinct()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("mask")) for t, m in enumerate(masks(radius))])
     rows = nodes.select("fp", F.inline(tables)).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.col("fp").alias("id"))
-    shared = rows.groupBy("t", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high").select("t", "key")
-    shared = landed(shared.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    members = rows.join(shared, ["t", "key"]).select("bucket", "id")
+    shared = rows.groupBy("t", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
+    shared = shared.select(F.col("t").alias("_t"), F.bitwise_not("key").alias("_key"))  # see components.apart
+    members = rows.join(shared, (rows["t"] == shared["_t"]) & (F.bitwise_not(rows["key"]) == shared["_key"]))
+    members = landed(members.select(F.struct("t", "key").alias("bucket"), "id"), "members")
     near = lambda pairs: pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     return linked_in_buckets(members, near)
 
@@ -88,10 +89,11 @@ def _with_components(prints: DataFrame, radius: int) -> DataFrame:
     # Per fingerprint first, so that the copies of one text meet as one row.
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = links(prints, radius)
-    least = landed(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = landed(least.groupBy("root").agg(F.min("least").alias("component_id")), "component_ids")
-    classes = landed(least.join(ids, "root").select("fp", "root", "component_id"), "classes")
-    return prints.join(classes, "fp")
+    linked = least.join(roots, least["fp"] == roots["node"]).select("fp", "least", "root")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = landed(linked.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "linked")
+    classes = least.join(linked, least["fp"] == linked["_fp"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(landed(classes, "classes"), "fp")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
