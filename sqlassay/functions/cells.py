@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlassay.functions.rows import let
+
 # Sums of doubles differ in their last digits with the order of the rows; these digits hold.
 SIGNIFICANT_DIGITS = 12
 
@@ -27,10 +29,35 @@ def half_even(value: Column, decimals: int) -> Column:
 def significant(value: Column, digits: int = SIGNIFICANT_DIGITS) -> Column:
     """A double to so many significant digits."""
     scale = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(value))).cast("double"))
-    usual = F.abs(value).between(1e-200, 1e200)
+    usual = F.abs(value).between(*_PLAIN)
     return F.when(usual, F.rint(value * scale) / scale).otherwise(value)
 
 
+#: Sizes written without an exponent; what is outside has one, whatever its type.
+_PLAIN = (1e-15, 1e15)
+_NUMBER = r"^-?(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$"
+
+
+def _with_exponent(text: Column) -> Column:
+    """A number's text as digits and exponent: ``-1.25e-21``, ``1e16``, zero as ``0``."""
+
+    def form(number: Column) -> Column:
+        whole, part = F.regexp_extract(number, _NUMBER, 1), F.regexp_extract(number, _NUMBER, 2)
+        exponent = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(number, _NUMBER, 3), F.lit("")), F.lit("S9999")).cast("int"), F.lit(0))
+        return let(F.concat(whole, part), lambda all_: let(F.regexp_replace(F.regexp_replace(all_, "^0+", ""), "0+$", ""), lambda digits: _joined(number, whole, all_, digits, exponent)))
+
+    return let(text, form)
+
+
+def _joined(number: Column, whole: Column, all_: Column, digits: Column, exponent: Column) -> Column:
+    zeros = F.length(all_) - F.length(F.regexp_replace(all_, "^0+", ""))
+    power = F.length(whole) - 1 - zeros + exponent
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    sign = F.when(number.startswith("-"), "-").otherwise("")
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    return F.when(digits == "", "0").otherwise(F.concat(sign, mantissa, F.lit("e"), power.cast("string")))
+
+
 def rounded(col: Column, dtype: T.DataType, decimals: int | None) -> Column:
     """Half-even rounding of fractional columns; 0 or None leaves the value alone."""
     if not decimals or not isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
@@ -48,20 +75,28 @@ def _short(decimal_text: Column) -> Column:
 def cell(col: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
     """Canonical text of a value: 1, 1.0 and DECIMAL 1.00 agree, NaN counts as null.
 
-    Decimals keep all their digits; doubles are written without an exponent while they
-    are small enough to be exact.
+    Integers and decimals keep all their digits, doubles twelve. The form follows from the value
+    alone: plain from 1e-15 up to 1e15, digits and exponent outside.
     """
     if isinstance(dtype, T.DecimalType):
-        text = rounded(col, dtype, decimals).cast("string")
-        return _short(text) if dtype.scale else text
+        value = rounded(col, dtype, decimals)
+        text = _short(value.cast("string")) if dtype.scale else value.cast("string")
+        if dtype.precision - dtype.scale <= 15 and dtype.scale <= 6:
+            return text
+        outside = (value != 0) & ~F.abs(value.cast("double")).between(*_PLAIN)
+        return F.when(outside, _with_exponent(value.cast("string"))).otherwise(_short(value.cast("string")) if dtype.scale else text)
+    if isinstance(dtype, T.LongType):
+        return F.when(F.abs(col.cast("double")) > F.lit(_PLAIN[1]), _with_exponent(col.cast("string"))).otherwise(col.cast("string"))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         number = col.cast("double")
         value = half_even(number, decimals) if decimals else significant(number)
-        small = F.abs(value) < F.lit(1e15)
+        plain = F.abs(value).between(*_PLAIN)
+        finite = F.abs(value) < F.lit(float("inf"))
         return (
             F.when(F.isnan(value), F.lit(None).cast("string"))
-            .when(small & (value == F.floor(value)), value.cast("bigint").cast("string"))
-            .when(small, _short(value.cast("decimal(38,20)").cast("string")))
+            .when((value == 0) | (plain & (value == F.floor(value))), value.cast("bigint").cast("string"))
+            .when(plain, _short(value.cast("decimal(38,22)").cast("string")))
+            .when(finite, _with_exponent(F.format_string(f"%.{SIGNIFICANT_DIGITS - 1}e", value)))
             .otherwise(value.cast("string"))
         )
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):

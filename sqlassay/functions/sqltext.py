@@ -105,31 +105,37 @@ _AFTER_LAST_ORDER_BY = r"(?is)^.*\border\s+by\s+(.*)$"
 _AFTER_KEYS = r"(?is)\s*(?:\b(?:limit|offset|fetch)\b|;).*$"
 
 
-def _protect_commas(text: Column, depth: int = 4) -> Column:
-    """Commas inside parentheses become \\u0001, parentheses \\u0002 and \\u0003, innermost first."""
-
-    def protected(plain: Column) -> Column:
-        done = plain
-        for _ in range(depth):
-            done = F.regexp_replace(done, r",(?=[^()]*\))", "\u0001")
-            done = F.regexp_replace(done, r"\(([^()]*)\)", "\u0002$1\u0003")
-        return F.when(plain.contains("("), done).otherwise(plain)
-
-    return let(text, protected)
+def split_top_level(text: Column) -> Column:
+    """Split at commas outside brackets, whatever their depth; a closing bracket without an opening one ends the text.
+
+    The text is cut at every bracket and comma; a running count of brackets tells which commas stand outside.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"[(),]|[^(),]+"), F.lit(0))
+    empty = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("ended")
+    )
 
+    def step(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        ended = state["ended"] | (depth < 0)
+        cut = (token == ",") & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(ended, state["open"]).when(cut, F.lit("")).otherwise(F.concat(state["open"], token)).alias("open"),
+            F.when(cut & ~ended, F.concat(state["items"], F.array(state["open"]))).otherwise(state["items"]).alias("items"),
+            ended.alias("ended"),
+        )
 
-def _split_top_level(protected: Column) -> Column:
-    """Split at commas outside parentheses."""
-    parts = F.split(protected, ",")
-    return F.transform(parts, lambda p: F.trim(F.translate(p, "\u0001\u0002\u0003", ",()")))
+    folded = F.aggregate(tokens, empty, step, lambda state: F.concat(state["items"], F.array(state["open"])))
+    plain = F.split(F.substring_index(text, ")", 1), ",")
+    return F.transform(F.when(text.contains("("), folded).otherwise(plain), lambda item: F.trim(item))
 
 
 def order_items(sql: Column) -> Column:
     """The items of the last ORDER BY; an empty array if there is none."""
     clause = F.regexp_extract(bare(sql), _AFTER_LAST_ORDER_BY, 1)
-    # A bracket still unpaired closes the query around the clause.
-    own = F.substring_index(_protect_commas(clause), ")", 1)
-    items = _split_top_level(F.regexp_replace(own, _AFTER_KEYS, ""))
+    # A bracket that nothing opened closes the query around the clause.
+    items = F.transform(split_top_level(clause), lambda item: F.regexp_replace(item, _AFTER_KEYS, ""))
     return F.when(sql.rlike(r"(?i)\border\s+by\b"), F.filter(items, lambda i: i != "")).otherwise(
         F.array().cast("array<string>")
     )
@@ -152,8 +158,8 @@ def cte_names(text: Column) -> Column:
     return F.when(text.rlike(r"(?i)^\s*with\b"), F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
 
 
-def table_items(text: Column, ctes: Column) -> Column:
-    """``struct(table_name, alias)`` per FROM or JOIN item, CTE names left out."""
+def from_items(text: Column) -> Column:
+    """``struct(table_name, alias)`` per FROM or JOIN item."""
     lists = _all(text, _FROM_LIST, 1)
     items = F.flatten(F.transform(lists, lambda l: F.split(l, ",")))
     dotted = rf"^\s*({_DOTTED})"
@@ -165,12 +171,36 @@ def table_items(text: Column, ctes: Column) -> Column:
             F.lower(F.regexp_replace(F.regexp_extract(i, alias, 1), r'["`\[\]]', "")).alias("alias"),
         ),
     )
-    return F.filter(pairs, lambda p: ~F.array_contains(ctes, p["table_name"]) & (p["table_name"] != ""))
+    return F.filter(pairs, lambda p: p["table_name"] != "")
+
+
+def table_items(items: Column, ctes: Column) -> Column:
+    """The items that are no CTE."""
+    return F.filter(items, lambda p: ~F.array_contains(ctes, p["table_name"]))
+
+
+def cte_aliases(items: Column, ctes: Column) -> Column:
+    return F.transform(F.filter(items, lambda p: F.array_contains(ctes, p["table_name"])), lambda p: p["alias"])
+
+
+_NO_NAME = rf"(?!(?:{'|'.join(KEYWORDS)}|group|order|union|fetch|tablesample)\b)"
+# A word after an operand and before a comma, a bracket, FROM or the end is a name given without AS.
+_QUOTED = r'(?:"[^"]++"|`[^`]++`|\[[^\]]++\])'
+_OPERAND = rf"(?:\)|''|\bend\b|(?<![\w$.]){_NO_NAME}[\w$]+(?:\s*\.\s*{_NAME})*|{_QUOTED})"
+_GIVEN = rf"(?i){_OPERAND}\s+{_NO_NAME}({_NAME})\s*(?=,|\)|\bfrom\b|;|$)"
+# The name of a bracketed FROM item, or of a call in the select list.
+_AFTER_BRACKET = rf"(?i)\)\s*(?:\bas\s+)?{_NO_NAME}({_NAME})"
+
+
+def derived_names(text: Column) -> Column:
+    """Names that stand after a closing bracket, lower case: what they qualify is no table of a catalog."""
+    return F.transform(_all(text, _AFTER_BRACKET, 1), plain_name)
 
 
 def output_names(text: Column) -> Column:
-    """Names given with AS, lower case."""
-    return F.transform(_all(text, rf"(?i)\bas\s+({_NAME})", 1), plain_name)
+    """Names given with or without AS, lower case."""
+    given = F.concat(_all(text, rf"(?i)\bas\s+({_NAME})", 1), _all(text, _GIVEN, 1), _all(text, _AFTER_BRACKET, 1))
+    return F.transform(given, plain_name)
 
 
 # What is not a column, each taken as a whole, then the dotted names that are left.
@@ -226,7 +256,8 @@ _CONSTRAINT = r"(?i)^\s*(constraint|primary\s+key|foreign\s+key|unique|check|ind
 def ddl_statements(script: Column) -> Column:
     """CREATE statements of a script in order, comments out."""
     text = F.regexp_replace(script, r"(?s)/\*.*?\*/", " ")
-    text = F.regexp_replace(text, r"--[^\n]*", "")
+    text = F.regexp_replace(text, _LITERAL_OR_COMMENT, "''$2")
+    text = F.regexp_replace(text, r"(?:'')?--[^\n]*", "")
     return F.filter(F.split(text, ";"), lambda s: s.rlike(_CREATE))
 
 
@@ -240,7 +271,7 @@ def ddl_columns(statement: Column) -> Column:
     body = F.regexp_extract(statement, r"(?s)\((.*)\)[^)]*$", 1)
     select_list = F.regexp_extract(statement, r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\bfrom\b", 1)
     source = F.when(is_view, select_list).otherwise(body)
-    parts = F.filter(_split_top_level(_protect_commas(source)), lambda p: (p != "") & (is_view | ~p.rlike(_CONSTRAINT)))
+    parts = F.filter(split_top_level(source), lambda p: (p != "") & (is_view | ~p.rlike(_CONSTRAINT)))
     by_alias = rf"(?is)\bas\s+({_NAME})\s*$"
 
     def view_column(part: Column) -> Column:

@@ -9,11 +9,13 @@ still known. Every verdict is a grouped aggregate; nothing loops over cases.
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,7 +190,8 @@ def _in_sequence(results: DataFrame) -> DataFrame:
         places.withColumn("__at", F.coalesce("gold", F.lit(-1))),
         ["case_id"],
         ["__at", "gen"],
-        F.floor(F.coalesce("gold", F.lit(-1)) / F.lit(POSITIONS_PER_CHUNK)).cast("bigint"),
+        # Rows of the generated result alone decide their case wherever they stand: they are dealt by their own place.
+        F.coalesce(F.floor(F.col("gold") / F.lit(POSITIONS_PER_CHUNK)), -1 - F.floor(F.col("gen") / F.lit(POSITIONS_PER_CHUNK))).cast("bigint"),
         ["gen"],
         "before",
     )
@@ -317,7 +320,14 @@ def expand_braces(alternatives: DataFrame, sql: str = "alternative_sql") -> Data
 
 
 def any_gold(verdicts: DataFrame) -> DataFrame:
-    """Exact if any alternative is exact; correct if any is exact or a subset."""
+    """Exact if any alternative is exact; correct if any is exact or a subset.
+
+    Takes the rows of ``verdicts``, one per alternative (map each alternative to a case of its own and
+    its ``case_id`` back before), or rows with the flags ``exact`` and ``subset``.
+    """
+    if "exact_match" in verdicts.columns:
+        flags = verdicts.select("case_id", (F.col("exact_match") == 1).alias("exact"), (F.col("correct") == 1).alias("subset"))
+        return any_gold(flags)
     return verdicts.groupBy("case_id").agg(
         F.bool_or("exact").alias("exact"), F.bool_or(F.col("exact") | F.col("subset")).alias("correct")
     )
@@ -333,6 +343,21 @@ def _keys_per_statement(spark: SparkSession, cases: Sequence[tuple[int, str, str
     return {row[0]: row[1] for row in texts.select("sql", names).collect()}
 
 
+def _cut_off(context: SparkContext, group: str, timeout: float, done: threading.Event) -> None:
+    """Cancel a group's jobs ``timeout`` seconds after its first task began."""
+    tracker = context.statusTracker()
+    began = None
+    while not done.wait(0.05):
+        if began is None:
+            jobs = filter(None, map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)))
+            stages = filter(None, (tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds))
+            if any(stage.numActiveTasks or stage.numCompletedTasks for stage in stages):
+                began = time.monotonic()
+        elif time.monotonic() - began > timeout:
+            context.cancelJobGroup(group)
+            return
+
+
 def run_cases(
     spark: SparkSession,
     cases: Sequence[tuple[int, str, str]],
@@ -344,7 +369,8 @@ def run_cases(
 
     Returns (long results, shapes, errors). The driver only submits statements, ``at_once``
     at a time; rows go from the executors to the shared folder. A statement that fails, or
-    runs longer than ``timeout`` seconds, is an error record.
+    runs longer than ``timeout`` seconds from its first task on, is an error record; waiting for
+    free slots does not count. In a session with fair scheduling a slow statement does not hold up the others.
     """
     path = fresh_path(spark, "results")
     spark.createDataFrame([], LONG_SCHEMA).write.parquet(f"{path}/none")
@@ -354,9 +380,10 @@ def run_cases(
     def land(case_id: int, side: str, sql: str) -> tuple[list[str] | None, str | None]:
         group = uuid.uuid4().hex
         context.setJobGroup(group, f"case {case_id} {side}", interruptOnCancel=True)
-        alarm = threading.Timer(timeout, context.cancelJobGroup, [group]) if timeout else None
-        if alarm:
-            alarm.start()
+        context.setLocalProperty("spark.scheduler.pool", group)
+        done = threading.Event()
+        if timeout:
+            threading.Thread(target=_cut_off, args=(context, group, timeout, done), daemon=True).start()
         try:
             df = dedup_names(spark.sql(sql))
             place = F.monotonically_increasing_id()  # follows the order the statement asked for
@@ -368,8 +395,7 @@ def run_cases(
             name = "Gold" if side == "gold" else "Generated"
             return None, f"{name} query failed to execute: {reason or type(error).__name__}"
         finally:
-            if alarm:
-                alarm.cancel()
+            done.set()
 
     todo = [(case_id, side, sql) for case_id, *both in cases for side, sql in zip(("gold", "gen"), both)]
     with ThreadPoolExecutor(at_once) as pool:

@@ -65,17 +65,19 @@ def table_texts(catalog: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return tables.select(*keys, "table_name", text.alias("ddl"))
 
 
-def case_schema(case_files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Schema text of each case's tables in file order.
+def case_schema(case_files: DataFrame, catalog: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Schema text of each case's tables in file order; a case whose files are not in the catalog has an empty one.
 
-    Texts are made once per table; only the short table texts meet the cases.
+    Texts are made once per table; only the short table texts meet the cases. ``cases`` adds those
+    that name no file at all.
     """
     named = case_files.withColumn("table_name", F.regexp_replace("file", r"\.[^.]*$", ""))
-    joined = named.join(table_texts(catalog), "table_name")
-    ordered = F.array_sort(F.collect_list(F.struct("file_no", "ddl")))
-    return joined.groupBy("case_id").agg(
-        F.array_join(F.transform(ordered, lambda t: t["ddl"]), "").alias("schema_string")
-    )
+    joined = named.join(table_texts(catalog), "table_name", "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("ddl").isNotNull(), F.struct("file_no", "ddl"))))
+    texts = joined.groupBy("case_id").agg(F.array_join(F.transform(ordered, lambda t: t["ddl"]), "").alias("schema_string"))
+    if cases is None:
+        return texts
+    return cases.select("case_id").join(texts, "case_id", "left").withColumn("schema_string", F.coalesce("schema_string", F.lit("")))
 
 
 def shuffle_schema(catalog: DataFrame, seed: int) -> DataFrame:

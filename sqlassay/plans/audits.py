@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlassay.operators import audit, summary
-from sqlassay.plans.fixtures import TABLES, derived, expand, oracle, table
+from sqlassay.plans.fixtures import GIVEN, TABLES, derived, expand, oracle, table
 from sqlassay.sources.results import metrics_wide
 from sqlassay.sources.tables import infer_catalog
 
@@ -174,7 +174,7 @@ _COLUMN_TRUTH = """(VALUES (0, NULL, 'c_name'), (0, NULL, 'c_acctbal'), (1, 'c',
   (9, NULL, 'l_orderkey'), (12, NULL, 'o_orderkey'), (12, NULL, 'o_orderstatus'), (13, 'l', 'l_quantity'),
   (13, 'p', 'p_name'), (13, NULL, 'p_partkey'), (14, 'n', 'n_title'), (14, 'n', 'n_nationkey'), (15, NULL, 'r_name'),
   (16, NULL, 'resp_code')) c(kind, qualifier, column_name)"""
-_DEFINED = "(SELECT table_name, column_name FROM information_schema.columns)"
+_DEFINED = f"(SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({GIVEN}))"
 _NAMES = f"""names AS (
   SELECT query_id, query_id % 18 AS kind, (query_id % 18) IN (3, 11, 17) AS unparsed,
     list_sort(coalesce((SELECT list(table_name) FROM {_TABLE_TRUTH} WHERE kind = query_id % 18), [])) AS tables

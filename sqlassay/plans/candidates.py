@@ -12,9 +12,13 @@ _FENCED = """SELECT doc_id AS item_id, CASE doc_id % 5
   WHEN 0 THEN concat('Here it is: ```sql', chr(10), 'SELECT ', lang, chr(10), '``` done')
   WHEN 1 THEN concat('```json', chr(10), '["', source, '"]', chr(10), '```') WHEN 2 THEN concat('```', chr(10), text, chr(10), '```')
   WHEN 3 THEN concat('```sql SELECT ', lang) ELSE text END AS response FROM {documents}"""
+# Three logits from the whole vector: the sums of its thirds; every ninth has two only.
 _LOGITS = {
-    "spark": "SELECT vec_id AS item_id, slice(embedding, 1, CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 3 END) AS logits FROM {embeddings}",
-    "duck": "SELECT vec_id AS item_id, embedding[1:CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 3 END] AS logits FROM {embeddings}",
+    "spark": """SELECT vec_id AS item_id, transform(sequence(0, CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 2 END), j -> round(aggregate(
+        slice(embedding, j * (size(embedding) div 3) + 1, CASE WHEN j = 2 THEN size(embedding) - 2 * (size(embedding) div 3) ELSE size(embedding) div 3 END),
+        CAST(0 AS DOUBLE), (total, x) -> total + x), 6)) AS logits FROM {embeddings}""",
+    "duck": """SELECT vec_id AS item_id, list_transform(range(0, CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 3 END), lambda j: round(list_sum(
+        embedding[j * (len(embedding) // 3) + 1:CASE WHEN j = 2 THEN len(embedding) ELSE (j + 1) * (len(embedding) // 3) END]::DOUBLE[]), 6)) AS logits FROM {embeddings}""",
 }
 _TESTS = """SELECT item_id, question, response, CASE WHEN item_id % 10 = 9 THEN 'ERROR_TTS' WHEN item_id % 10 = 8 THEN NULL
     WHEN item_id % 10 = 7 THEN 'UPDATE t' ELSE ' select 1 from t' END AS predicted_sql,

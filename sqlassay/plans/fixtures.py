@@ -15,6 +15,9 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+#: The given tables' names in SQL; a database may hold others.
+GIVEN = ", ".join(f"'{name}'" for name in TABLES)
+
 DERIVED = {
     # Expected and generated results per nation. By case_id % 5: 0 equal, 1 wrong value,
     # 2 extra column, 3 missing row, 4 duplicated row.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlassay.operators import prompts as pr
 from sqlassay.plans.audits import _SCRIPTS, ddl_scripts, given_catalog
-from sqlassay.plans.fixtures import expand, oracle
+from sqlassay.plans.fixtures import GIVEN, expand, oracle
 from sqlassay.sources.cases import case_files
 
 _CASES = """SELECT event_id AS case_id, concat('How many ', event_type, ' {rows}?') AS question,
@@ -30,7 +30,8 @@ def p1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2(spark: SparkSession, d: str) -> DataFrame:
-    return pr.case_schema(case_files(_sql(spark, d, _CASES)), given_catalog(spark, d))
+    cases = _sql(spark, d, _CASES)
+    return pr.case_schema(case_files(cases), given_catalog(spark, d), cases)
 
 
 _CATALOGS = """SELECT schema_id, table_name, ordinal, column_name, 'TEXT' AS type_class FROM (@) t
@@ -83,10 +84,10 @@ _DECORATED = f"""decorated AS (SELECT case_id, question, data_csv_files,
 _SCHEMAS = f"""ddl AS (SELECT table_name, concat('CREATE TABLE ', table_name, ' (', chr(10),
     string_agg(concat('  ', column_name, ' ', CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'INTEGER'
       WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'REAL' ELSE 'TEXT' END), concat(',', chr(10)) ORDER BY ordinal_position), chr(10), ');', chr(10)) AS text
-    FROM information_schema.columns GROUP BY table_name),
+    FROM information_schema.columns WHERE table_name IN ({GIVEN}) GROUP BY table_name),
 files AS (SELECT case_id, unnest(string_split(data_csv_files, ',')) AS file, generate_subscripts(string_split(data_csv_files, ','), 1) AS file_no FROM ({_CASES}) c),
-schemas AS (SELECT case_id, string_agg(text, '' ORDER BY file_no) AS schema_string FROM files
-  JOIN ddl ON table_name = replace(trim(file), '.csv', '') GROUP BY case_id)"""
+schemas AS (SELECT case_id, coalesce(string_agg(text, '' ORDER BY file_no), '') AS schema_string FROM files
+  LEFT JOIN ddl ON table_name = replace(trim(file), '.csv', '') GROUP BY case_id)"""
 _PROMPT = pr.TEMPLATE.replace("'", "''").replace("{db_type}", "spark")
 for _place, _value in {
     "user_question": "question",

@@ -22,8 +22,9 @@ def load_cases(spark: SparkSession, path: str, n: int | None = None, key: str |
     """Eval cases of a CSV file, every value a text and never null.
 
     The header says which columns are there; a line that does not fit it keeps its text in
-    ``_corrupt_record``. Fields may span lines. ``n`` takes the first cases in the order
-    of ``key``, or of the question where no key column is named.
+    ``_corrupt_record``. Fields may span lines, so a file is one task: give a folder of many
+    files where there are many cases. ``n`` takes the first cases in the order of ``key``, or, where
+    no key column is named, of the files' names and the cases' places in them.
     """
     reader = spark.read.options(header=True, multiLine=True, escape='"', mode="PERMISSIVE")
     names = reader.csv(path).columns
@@ -32,10 +33,14 @@ def load_cases(spark: SparkSession, path: str, n: int | None = None, key: str |
         raise ValueError(f"Missing required columns in {path}: {', '.join(missing)}")
     schema = ", ".join([*(f"`{c}` string" for c in names), "_corrupt_record string"])
     cases = reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+    if n is not None and not key:
+        # A file is read by one task in its own order, which the id follows.
+        cases = cases.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__place"))
     cases = cases.na.fill("", subset=names)
     cases = cases.withColumns({c: F.lit(v) for c, v in OPTIONAL.items() if c not in names})
     if n is not None:
-        cases = cases.orderBy(*([key] if key else []), "question", "query").limit(n)
+        cases = cases.orderBy(key, "question", "query") if key else cases.orderBy("__file", "__place")
+        cases = cases.limit(n).drop("__file", "__place")
     return cases
 
 

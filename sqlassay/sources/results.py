@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,16 +49,27 @@ def run_history(spark: SparkSession, path: str, schema: str | T.StructType) -> D
     named = stored.select(
         "*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("written_at")
     )
-    return named.orderBy(F.desc("written_at"), "file_name")
+    # The files are put in order, one row each; the rows of a file need only follow their file's number.
+    order = Window.orderBy(F.desc("written_at"), "file_name")
+    files = named.select("written_at", "file_name").distinct().withColumn("file_no", F.row_number().over(order))
+    numbered = named.join(files, ["written_at", "file_name"])
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns])  # so that a large file is not one task
+    return numbered.repartitionByRange("file_no", spread).sortWithinPartitions("file_no").select(*named.columns)
 
 
 def metric_slug(name: str) -> str:
-    """Column prefix of a metric: lower case, brackets off, blanks and hyphens to ``_``."""
-    return name.lower().replace("(", "").replace(")", "").replace(" ", "_").replace("-", "_")
+    """Column prefix of a metric: its letters and digits in lower case, each run of anything else one ``_``."""
+    slug = re.sub(r"[\W_]+", "_", name.lower()).strip("_")
+    if not slug:
+        raise ValueError(f"a metric needs a letter or digit in its name: {name!r}")
+    return slug
 
 
 def metrics_wide(scores: DataFrame, test: str, metrics: Sequence[str]) -> DataFrame:
     """One row per test with ``<metric>_score`` and ``<metric>_reason``; a metric without rows is null."""
+    slugs = [metric_slug(name) for name in metrics]
+    if len(set(slugs)) < len(slugs):
+        raise ValueError(f"metrics share a column prefix: {sorted(s for s in set(slugs) if slugs.count(s) > 1)}")
     parts = []
     for name in metrics:
         for part in ("score", "reason"):

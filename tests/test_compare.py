@@ -188,8 +188,14 @@ def test_run_cases_end_to_end(spark):
 def test_slow_statement_is_cut_off(spark):
     spark.range(10).createOrReplaceTempView("tiny")
     slow = "SELECT max(sha2(repeat(cast(id as string), 200), 512)) AS m FROM range(80000000)"
-    _, _, errors = compare.run_cases(spark, [(1, "SELECT id FROM tiny", slow)], timeout=2.0)
-    assert [(r["case_id"], r["side"]) for r in errors.collect()] == [(1, "gen")]
+    for case in [(1, "SELECT id FROM tiny", slow), (1, slow, "SELECT id FROM tiny")]:
+        _, _, errors = compare.run_cases(spark, [case], timeout=2.0)
+        assert [(r["case_id"], r["side"]) for r in errors.collect()] == [(1, "gen" if case[2] == slow else "gold")]
+
+
+def test_any_gold_takes_verdicts(spark):
+    rows = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 1, 1), (2, 0, 0), (3, 0, 0)], "case_id int, exact_match int, correct int")
+    assert {tuple(r) for r in compare.any_gold(rows).collect()} == {(1, False, True), (2, True, True), (3, False, False)}
 
 
 def test_rounding_is_half_even_and_zero_means_none(spark):
@@ -209,7 +215,21 @@ def test_cells_of_different_types_agree(spark):
     assert got["i"] == got["d"] == got["m"] == "2" and got["nan"] is None and got["hundred"] == "100"
     assert got["small"] == got["small_m"] == "0.00001" and got["noise"] == got["plain"] == "0.3"
     assert got["near"] == got["far"]
-    assert got["big"] == "12345678901234567890.12" and got["huge"] == "1.0E300"
+    assert got["big"] == "1.234567890123456789012e19" and got["huge"] == "1e300"
+
+
+def test_form_of_a_cell_follows_its_value_alone(spark):
+    from sqlassay.functions.cells import cell
+
+    df = spark.sql(
+        "SELECT 1e-21D AS a, 2e-21D AS b, 1e16D AS c, 10000000000000000 AS d, 10000000000000000BD AS e, -1.5e-300D AS f, "
+        "1234567890123456789 AS g, 0.0000000000000000125BD AS h, 1.25e-17D AS i, 0.0D AS j, 0.000BD AS k, cast('inf' AS double) AS l, 123456789012345 AS m, 999999999999999.5D AS n"
+    )
+    got = df.select(*[cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert got["a"] == "1e-21" and got["b"] == "2e-21" and got["f"] == "-1.5e-300"
+    assert got["c"] == got["d"] == got["e"] == "1e16"
+    assert got["g"] == "1.234567890123456789e18" and got["h"] == got["i"] == "1.25e-17"
+    assert got["j"] == got["k"] == "0" and got["l"] == "Infinity" and got["m"] == "123456789012345"
 
 
 def test_repeated_names(spark):
