@@ -70,6 +70,7 @@ class Transducer:
         self.pieces = vocabulary.pieces
         self.prefixes = {text[:n] for text in self.pieces for n in range(1, len(text) + 1)}
         self.whole = any(MARK in text.lstrip(MARK) for text in self.pieces)  # then inputs cannot be cut
+        self.trie = {prefix: prefix in self.pieces for prefix in self.prefixes}
         self.unknown = 10.0 - min((score for _, score in self.pieces.values()), default=0.0)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.apart_cache: dict[tuple[str, str], bool] = {}
@@ -119,24 +120,46 @@ class Transducer:
         return _back(chunk, lambda at: best[at][1])
 
     def merged_path(self, chunk: str) -> list[str]:
-        """The one path of finite weight. States are (position, last piece); each keeps the piece before it."""
-        states: list[dict[str, str]] = [{"": ""}] + [{} for _ in chunk]
-        for at in range(len(chunk)):
-            if states[at]:
-                for arc in self.arcs(chunk, at):
-                    for last in states[at]:
-                        if self.apart(last, arc):
-                            states[at + len(arc)][arc] = last
-                            break  # a later piece only asks for its own left neighbour
-        path: list[str] = []
-        at = len(chunk)
-        arc = next(iter(states[at]), "")
-        while arc:
-            path.append(arc)
-            at, arc = at - len(arc), states[at][arc]
-        if at:
-            raise ValueError(f"no path through {chunk[:40]!r}")
-        return path[::-1]
+        """The one path of finite weight, sought depth first with the longest arcs first.
+
+        A state is (position, last piece); one from which the end cannot be reached is not entered again.
+        """
+        end, trie, known, dead = len(chunk), self.trie, self.apart_cache, set()
+        taken: list[tuple[int, str, list[int]]] = []
+
+        def sizes(at: int) -> list[int]:
+            """Lengths of the arcs at a position, the longest last."""
+            found = [1]
+            to = at + 1
+            is_piece = trie.get(chunk[at:to])
+            while is_piece is not None and to < end:
+                to += 1
+                is_piece = trie.get(chunk[at:to])
+                if is_piece:
+                    found.append(to - at)
+            return found
+
+        at, last, open_sizes = 0, "", sizes(0)
+        while at < end:
+            while open_sizes:
+                size = open_sizes.pop()
+                arc = chunk[at : at + size]
+                if dead and (at + size, arc) in dead:
+                    continue
+                left_apart = known.get((last, arc))
+                if left_apart or (left_apart is None and self.apart(last, arc)):
+                    taken.append((at, last, open_sizes))
+                    at += size
+                    last = arc
+                    open_sizes = sizes(at) if at < end else []
+                    break
+            else:
+                dead.add((at, last))
+                if not taken:
+                    raise ValueError(f"no path through {chunk[:40]!r}")
+                at, last, open_sizes = taken.pop()
+        starts = [start for start, _, _ in taken]
+        return [chunk[a:b] for a, b in zip(starts, [*starts[1:], end])]
 
     def apart(self, left: str, right: str) -> bool:
         """Do the merges leave these two pieces as neighbours?"""
