@@ -153,16 +153,22 @@ def lines_by_hand(rows):
     lines = [((no_id, i, k), normal(line), t) for no_id, i, t in rows for k, line in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", line)]
     texts = sorted({line for _, line, _ in lines})
     sets = Sets()
-    for a in texts:
-        for b in texts:
-            x, y = shingles(a), shingles(b)
-            if len(x & y) >= 0.8 * len(x | y):
+    of = {text: shingles(text) for text in texts}
+    holders = {}
+    for text, parts in of.items():
+        sets.find(text)
+        for part in parts:
+            holders.setdefault(part, []).append(text)
+    for a, x in of.items():
+        common = Counter(b for part in x for b in holders[part])
+        for b, n in common.items():
+            if n >= 0.8 * (len(x) + len(of[b]) - n):
                 sets.join(a, b)
     lead = {}
     for at, line, _ in lines:
         root = sets.find(line)
         lead[root] = min(lead.get(root, at), at)
-    return sorted((None if at[0] else at[1], at[2], None if lead[sets.find(line)][0] else lead[sets.find(line)][1], lead[sets.find(line)][2]) for at, line, _ in lines)
+    return [(None if at[0] else at[1], at[2], None if lead[sets.find(line)][0] else lead[sets.find(line)][1], lead[sets.find(line)][2]) for at, line, _ in lines]
 
 
 def line_rows(prose):
