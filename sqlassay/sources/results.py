@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,12 +49,10 @@ def run_history(spark: SparkSession, path: str, schema: str | T.StructType) -> D
     named = stored.select(
         "*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("written_at")
     )
-    # The files are put in order, one row each; the rows of a file need only follow their file's number.
-    order = Window.orderBy(F.desc("written_at"), "file_name")
-    files = named.select("written_at", "file_name").distinct().withColumn("file_no", F.row_number().over(order))
-    numbered = named.join(files, ["written_at", "file_name"])
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns])  # so that a large file is not one task
-    return numbered.repartitionByRange("file_no", spread).sortWithinPartitions("file_no").select(*named.columns)
+    # Ranges of (file, digest of the row): a large file is several tasks, and files follow one another.
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in stored.columns])
+    order = [F.desc("written_at"), F.asc("file_name")]
+    return named.repartitionByRange(*order, spread).sortWithinPartitions(*order)
 
 
 def metric_slug(name: str) -> str:
