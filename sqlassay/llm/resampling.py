@@ -13,7 +13,7 @@ label, those with the smallest hash of doc_id outside the held-out third). Their
 reached by a broadcast of that many ids; model and counts are ``2 * BUCKETS`` numbers.
 
 Defined cases: a null text has no n-grams, like an empty one: weight 0 and score 0.5 of the
-curve's middle; texts are read in pieces of ``PIECE`` words; rows that share a doc_id share
+curve's middle; texts are read in pieces of about ``PIECE`` characters, cut at white space; rows that share a doc_id share
 their noise; rows equal to the k-th are all sampled; without labels of both kinds the raw model is the target
 too and everything is kept; an empty table gives an empty result; other columns are not
 read.
@@ -38,8 +38,9 @@ from sqlassay.session import landed
 BUCKETS = 1 << 14
 SAMPLE = 8000
 SHARE = 0.5
-PIECE = 1 << 15
+PIECE = 1 << 20
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_SPACE = re.compile(r"\s")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +60,6 @@ class _Hashes(dict):
 def buckets_of(text: str | None, hashes: dict, size: int = BUCKETS) -> Iterator[np.ndarray]:
     """Bucket numbers of a text's words, then pairs, piece by piece; a word next to itself is one pair for all words."""
     last = None
-    tokens: list[int] = []
 
     def flush(tokens: list[int], last: int | None) -> np.ndarray:
         h = np.array(tokens if last is None else [last, *tokens], dtype=np.uint64)
@@ -69,13 +69,16 @@ def buckets_of(text: str | None, hashes: dict, size: int = BUCKETS) -> Iterator[
         mixed = np.concatenate([own * _MIX, (pairs + np.uint64(1)) * _MIX])
         return ((mixed >> np.uint64(40)) % np.uint64(size)).astype(np.int64)
 
-    for found in _TOKEN.finditer(text or ""):
-        tokens.append(hashes[found[0]])
-        if len(tokens) == PIECE:
+    text = text or ""
+    start = 0
+    while start < len(text):
+        space = _SPACE.search(text, min(start + PIECE, len(text)))
+        end = space.start() if space else len(text)
+        tokens = list(map(hashes.__getitem__, _TOKEN.findall(text, start, end)))
+        if tokens:
             yield flush(tokens, last)
-            last, tokens = tokens[-1], []
-    if tokens:
-        yield flush(tokens, last)
+            last = tokens[-1]
+        start = max(end, start + 1)
 
 
 def counts(docs: DataFrame, size: int = BUCKETS) -> np.ndarray:
