@@ -200,6 +200,43 @@ def test_line_dedup_keeps_rows_and_other_lines(spark, prose, awkward, nothing):
     assert fuzzy_lines.line_dedup(nothing).collect() == []
 
 
+def alike(prose, rng, size, low, high):
+    """Two normal lines of about so many characters whose similarity is from low to high."""
+    while True:
+        left = prose(size // 4, rng.random())[:size].split(" ")
+        right = list(left)
+        while (j := len(shingles(" ".join(left)) & shingles(" ".join(right))) / len(shingles(" ".join(left)) | shingles(" ".join(right)))) > high:
+            right[rng.randrange(len(right))] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+        if j >= low:
+            return " ".join(left), " ".join(right)
+
+
+@pytest.mark.parametrize("size", [60, 180, 250, 270, 600, 3000])
+def test_similar_lines_share_a_band(spark, prose, size):
+    rng = random.Random(size)
+    pairs = [alike(prose, rng, size, 0.8, 0.85) for _ in range(150)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(F.arrays_overlap(fuzzy_lines.signature(F.col("a")), fuzzy_lines.signature(F.col("b"))).alias("met"))
+    assert sum(r["met"] for r in df.collect()) >= 0.95 * len(pairs)
+
+
+def test_lines_are_signed_past_the_beginnings_of_their_words(spark, prose):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    token = letters(1500)
+    long_words = [letters(40) for _ in range(20)]
+    broken = [w if k else " ".join([w[:2], w[2:4], w[4:6], w[6:8], w[8:10], w[10:12], w[12:14], w[14:16], w[16:18], w[18:20], w[20:22], w[22:24], w[24:]]) for k, w in enumerate(long_words)]
+    assert len(long_words) < 24 and len(" ".join(broken).split()) >= 32
+    lines = [
+        " ".join(letters(2) for _ in range(40)) + " " + token, " ".join(letters(2) for _ in range(40)) + " " + token,  # one long token, other short words
+        " ".join(long_words), " ".join(broken),  # few words and many
+        "once more " * 40, "once more " * 41,  # the same words again and again
+    ]
+    rows = [(k, line) for k, line in enumerate(lines)]
+    found = {r["doc_id"]: r["keep_doc"] for r in fuzzy_lines.line_classes(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert [(i, 0, found[i], 0) for i in range(len(lines))] == lines_by_hand(rows)
+    assert found == {k: k // 2 * 2 for k in range(len(lines))}
+
+
 def test_jaccard_is_exact(spark, prose):
     pairs = [("abcdefgh", "abcdefgx"), ("a", "a"), ("a", "b"), (prose(30, 1), prose(30, 1) + " more"), ("é" * 20, "é" * 9)]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fuzzy_lines.jaccard(F.col("a"), F.col("b")).alias("j"))
