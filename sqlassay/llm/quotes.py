@@ -3,10 +3,13 @@
 A message's lines that begin with ``>`` are quotes; each further ``>`` is a level. A maximal
 run of lines of one level is a passage; what is left without marks and without the line that
 announces a quote ("... wrote:") is the message's own text, whose blocks between quotes are
-its own passages. Passages are compared by the digest of their words (lower case). A
-quoted passage belongs to the first earlier message of the conversation that states it, whole
-or as one of its lines; a message replies to the latest message that its outermost quotes
-belong to. Messages without a linked quote start a thread of their own, in the order of turns.
+its own passages. Passages are compared by the digests of their words (lower case): whole, line
+by line, sentence by sentence, and in all windows of ``WINDOW`` words, at every level. A
+quoted passage belongs to the first earlier message of the conversation that states it as a block,
+line or sentence; if none does, it has been trimmed, and it belongs to the latest message that first
+stated one of its windows, or else one of its lines or sentences. A message replies to the latest
+message that its quotes belong to on the outermost level that has a linked one. Messages
+without a linked quote start a thread of their own, in the order of turns.
 
 A thread's root and a message's depth are found by pointer doubling, so a chain of n replies
 takes log2 n joins. The reply order is (root_turn, depth, turn); ``formatted`` writes it
@@ -14,7 +17,7 @@ range-sorted, so no conversation is gathered in one row or task.
 
 Defined cases: a null or empty text has no passages and an empty own text; a quote without a
 source, or one that quotes only later messages, links to nothing; a passage without a word is
-no passage; rows with a null conv_id or turn start a thread and are never a source; rows that
+no passage; a part of a line that is neither a sentence nor ``WINDOW`` words long links to nothing; rows with a null conv_id or turn start a thread and are never a source; rows that
 repeat a (conv_id, turn) are one message to those that quote them and each come out; an empty table
 gives an empty result; other columns are not read.
 """
@@ -24,10 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlassay.functions.rows import let
 from sqlassay.session import landed
 
 #: Fixed value: how a mail program announces a quote.
 ANNOUNCES = r"(?i)^.{0,200}\bwrote:\s*$"
+#: Fixed value: so many words in a row tell a passage's source.
+WINDOW = 5
+_SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？])"
 _MARKS = r"^\s{0,3}((?:>\s?)+)"
 
 
@@ -58,24 +65,48 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _parts(lines: Column) -> Column:
+    """The words of a passage's whole, its lines and its sentences, those across line ends too."""
+    block = F.array_join(lines, "\n")
+    said = F.concat(F.array(block), lines, F.split(block, rf"\n|{_SENTENCE_END}", -1), F.split(F.regexp_replace(block, r"\s+", " "), _SENTENCE_END, -1))
+    return F.array_distinct(F.transform(said, normal))
+
+
+def _windows(words: Column) -> Column:
+    """All runs of WINDOW words."""
+    return let(F.split(words, " "), lambda each: F.when(F.size(each) >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.size(each) - WINDOW, F.lit(0))), lambda i: F.array_join(F.slice(each, i + 1, WINDOW), " "))).otherwise(F.array().cast("array<string>")))
+
+
+def _said(kind: str, words: Column, rank: int) -> Column:
+    """Array of (rank, digest) of an array of words; windows are told from other parts."""
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.lit(rank).alias("rank"), F.unhex(F.md5(F.concat(F.lit(kind), w))).alias("digest")))
+
+
 def own_text(lines: str = "lines") -> Column:
     own = F.transform(F.filter(lines, lambda line: line["level"] == 0), lambda line: line["line"])
     return F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own text, n_quotes (outermost passages), n_linked and parent_turn of each message."""
+    """conv_id, turn, role, own text, n_quotes (passages of all levels), n_linked and parent_turn of each message."""
     rows = passages(messages)
     rows = landed(rows.select("conv_id", "turn", "role", "runs", own_text().alias("own_text")).withColumn("message", F.monotonically_increasing_id()), "messages")
     known = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    runs = known.select("conv_id", "turn", "message", F.explode("runs").alias("run")).select("conv_id", "turn", "message", "run.level", "run.lines")
-    own = runs.filter("level = 0").select("conv_id", "turn", F.explode(F.concat(F.array(F.array_join("lines", "\n")), F.col("lines"))).alias("said"))
-    own = own.select("conv_id", "turn", normal(F.col("said")).alias("words")).filter("words != ''")
-    sources = own.select("conv_id", F.unhex(F.md5("words")).alias("digest"), "turn").groupBy("conv_id", "digest").agg(F.min("turn").alias("source"))
-    quoted = runs.filter("level = 1").select("conv_id", "turn", "message", normal(F.array_join("lines", "\n")).alias("words")).filter("words != ''")
-    quoted = quoted.select("conv_id", "turn", "message", F.unhex(F.md5("words")).alias("digest"))
+    runs = known.select("conv_id", "turn", "message", F.posexplode("runs").alias("run_no", "run")).select("conv_id", "turn", "message", "run_no", "run.level", "run.lines")
+    runs = runs.withColumn("words", normal(F.array_join("lines", "\n"))).filter("words != ''")
+    said = F.concat(_said("part ", F.array("words"), 0), _said("window ", _windows(F.col("words")), 1), _said("part ", _parts(F.col("lines")), 2))
+    quoted = runs.filter("level >= 1").select("conv_id", "turn", "message", "run_no", "level", F.explode(said).alias("said"))
+    quoted = landed(quoted.select("conv_id", "turn", "message", "run_no", "level", "said.rank", "said.digest"), "quoted")
+    # Only conversations with a quote need sources.
+    own = runs.filter("level = 0").join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = own.select("conv_id", "turn", F.explode(F.concat(_said("window ", _windows(F.col("words")), 1), _said("part ", _parts(F.col("lines")), 2))).alias("said"))
+    sources = own.select("conv_id", "said.digest", "turn").groupBy("conv_id", "digest").agg(F.min("turn").alias("source"))
     hits = quoted.join(landed(sources, "sources"), ["conv_id", "digest"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
-    per_message = hits.groupBy("message").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), F.max("source").alias("parent_turn"))
+    # A whole passage tells more than its windows, and these more than its lines.
+    source = F.coalesce(*[F.max(F.when(F.col("rank") == rank, F.col("source"))) for rank in range(3)])
+    per_run = hits.groupBy("message", "run_no", "level").agg(source.alias("source"))
+    outermost = F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("level"), "source")))
+    per_message = per_run.groupBy("message").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), outermost["source"].alias("parent_turn"))
     joined = rows.drop("runs").join(per_message, "message", "left")
     return joined.select("message", "conv_id", "turn", "role", "own_text", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn")
 

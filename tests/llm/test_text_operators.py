@@ -299,6 +299,27 @@ def test_quotes_are_linked_and_taken_out(spark):
     assert order == [(1, 0), (1, 1), (1, 3), (1, 2), (1, 5), (1, 4)]
 
 
+def test_nested_and_trimmed_quotes_are_linked(spark):
+    rows = [
+        (1, 0, "user", "First line of the plan.\nSecond line of the plan.\nThird line of the plan."),
+        (1, 1, "user", "We meet at noon. Bring the blue folder! The room behind the large hall on the second floor is ours until four"),
+        (1, 2, "user", "> On Monday Ann wrote:\n>> First line of the plan.\n>> Second line of the plan.\n>> Third line of the plan.\nOnly a nested quote."),
+        (1, 3, "user", "> Second line of the plan.\n> Third line of the plan.\nTwo of three lines."),
+        (1, 4, "user", "> Bring the blue folder!\nOne sentence."),
+        (1, 5, "user", "> [...] behind the large hall on\n> the second floor [...]\nA part, wrapped anew."),
+        (1, 6, "user", "> Only a nested quote.\n>> We meet at noon.\nThe outermost level counts."),
+        (1, 7, "user", "> never said by anyone here before\n>>> We meet at noon.\nThe next level that links."),
+        (1, 8, "user", "> First line of the plan.\n> never said\n> Third line of the plan.\nSome lines."),
+        (1, 9, "user", "> some lines that nobody wrote\nNothing."),
+        (2, 0, "user", "> Bring the blue folder!\nAnother conversation."),
+    ]
+    found = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_quotes"], r["n_linked"]) for r in quotes.conversations(talk(spark, rows)).collect()}
+    assert found == {
+        (1, 0): (None, 0, 0), (1, 1): (None, 0, 0), (1, 2): (0, 1, 1), (1, 3): (0, 1, 1), (1, 4): (1, 1, 1), (1, 5): (1, 1, 1),
+        (1, 6): (2, 2, 2), (1, 7): (1, 2, 1), (1, 8): (0, 1, 1), (1, 9): (None, 1, 0), (2, 0): (None, 1, 0),
+    }
+
+
 def test_long_chains_of_replies(spark):
     rows = [(1, k, "user", (f"> message number {k - 1}\n" if k else "") + f"message number {k}") for k in range(70)]
     found = {r["turn"]: (r["root_turn"], r["depth"]) for r in quotes.conversations(talk(spark, rows)).collect()}
