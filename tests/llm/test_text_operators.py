@@ -175,6 +175,31 @@ def test_license_spans(spark, awkward, nothing, prose):
     assert all(r["licenses"] == [] for r in licenses.scan(awkward).collect()) and licenses.scan(nothing).collect() == []
 
 
+def test_licenses_are_told_from_their_neighbours():
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    cases = {
+        "Released under the BSD License.": ["BSD (line)"],
+        "released under the same license": [],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0 (line)"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0 (line)"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0 (line)"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0 (line)"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0 (line)"],
+        "Licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0 (line)"],
+        "Licensed under the Apache License, Version 1.1": [],
+        "Released under the terms of the MIT License.": ["MIT (line)"],
+        "Released under the BSD License. The MIT License is another.": ["BSD (line)"],
+        gpl: ["GPL-3.0"], gpl.replace("version 3", "version 2"): ["GPL-2.0"], gpl.replace("version 3", "version 4"): [],
+        gpl.replace("GNU", "GNU Lesser"): ["LGPL-3.0"], gpl.replace("GNU", "GNU Affero"): ["AGPL-3.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+    }
+    scanner = licenses.Scanner()
+    assert {text: [span[0] for span in scanner.scan(text)] for text in cases} == cases
+    for name, texts in licenses.TEMPLATES.items():
+        for text in [texts] if isinstance(texts, str) else texts:
+            assert [span[:2] for span in scanner.scan(text)] == [(name, 1.0)], name
+
+
 def test_patience_matches_rise_and_cover():
     rng = random.Random(6)
     for _ in range(300):
