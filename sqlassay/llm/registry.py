@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlassay.llm import block_names, covering, fuzzy_lines, licenses, packing, pieces, quotes, resampling, rules, toxicity
+from sqlassay.llm import alignment, block_names, centroids, covering, fuzzy_lines, licenses, merge_automaton, packing, pieces, quotes, resampling, rules, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_totals(*centroids.clusters_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge_automaton.round_trip(_documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", F.expr("length(token_bytes) div 4").alias("n_tokens"), F.sha2("token_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.aligned(_documents(spark, sf_dir).select("doc_id", "text"))
+    spelled = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    rows = alignment.numbered(rows.withColumn("groups_sha256", spelled).drop("groups"))
+    return alignment.scored(rows).drop("row")
+
+
 QUERIES = {
     "op1_license_scan": op1,
     "op2_toxicity": op2,
@@ -70,6 +86,9 @@ QUERIES = {
     "op8_importance_resampling": op8,
     "op9_simhash_near_dedup": op9,
     "op10_quotation_linking": op10,
+    "op11_centroid_clustering": op11,
+    "op12_merge_automaton": op12,
+    "op13_token_alignment": op13,
 }
 
 ORACLES = {
@@ -93,4 +112,5 @@ ORACLES = {
     "op4_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
         doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_centroid_clustering": centroids.oracle(),
 }
