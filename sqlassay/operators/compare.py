@@ -8,23 +8,19 @@ still known. Every verdict is a grouped aggregate; nothing loops over cases.
 
 from __future__ import annotations
 
-import threading
-import time
-import uuid
+import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import PySparkException
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlassay.functions import sqltext
 from sqlassay.functions.cells import cell, rounded
-from sqlassay.functions.rows import exploded
+from sqlassay.functions.rows import exploded, let
+from sqlassay.operators import columns
 from sqlassay.operators.ordered import previous_row
-from sqlassay.session import fresh_path
+from sqlassay.session import landed
 
 LONG_SCHEMA = (
     "case_id bigint, side string, pos bigint, columns array<string>, order_keys array<string>, row array<string>"
@@ -147,13 +143,23 @@ def ordered_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
     return _with_widths(_in_place(results), shapes, "ordered_equal")
 
 
-def set_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Equal as sets of rows once columns are arranged; a null equals a null."""
-    return _with_widths(_set_difference(arranged(results)), shapes, "set_equal")
+def set_equal(results: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """Equal as sets of rows once columns are arranged; a null equals a null.
+
+    Without ``shapes`` the widths are read in the same pass; a case without any row is then unknown.
+    """
+    if shapes is not None:
+        return _with_widths(_set_difference(arranged(results)), shapes, "set_equal")
+    rows = results.select("case_id", "side", F.size("columns").alias("width"), *columns.hashes(columns.marked(_arranged(F.col("columns"), F.col("order_keys"), F.col("row")))))
+    width = lambda side: F.max(_on_side(side, F.col("width"))).alias(side)
+    seen = rows.groupBy("case_id", "a", "b").agg(width("gold"), width("gen"))
+    both = F.bool_and(F.col("gold").isNotNull() & F.col("gen").isNotNull()) & (F.max("gold") == F.max("gen"))
+    return seen.groupBy("case_id").agg(F.coalesce(both, F.lit(False)).alias("set_equal"))
 
 
 def _set_difference(results: DataFrame) -> DataFrame:
-    seen = results.groupBy("case_id", "row").agg(
+    """case_id and same_rows: rows meet as 128 bits, not as texts."""
+    seen = results.select("case_id", "side", *columns.hashes(columns.marked(F.col("row")))).groupBy("case_id", "a", "b").agg(
         F.bool_or(F.col("side") == "gold").alias("in_gold"), F.bool_or(F.col("side") == "gen").alias("in_gen")
     )
     return seen.groupBy("case_id").agg(F.bool_and(F.col("in_gold") & F.col("in_gen")).alias("same_rows"))
@@ -181,15 +187,16 @@ def sequence_equal(results: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def _in_sequence(results: DataFrame) -> DataFrame:
-    places = (
-        arranged(results)
-        .groupBy("case_id", "row")
-        .agg(F.min(_on_side("gold", F.col("pos"))).alias("gold"), F.min(_on_side("gen", F.col("pos"))).alias("gen"))
-    )
+    first = lambda side: F.min(_on_side(side, F.col("pos"))).alias(side)
+    return _forward(arranged(results).groupBy("case_id", "row").agg(first("gold"), first("gen")), ["row"])
+
+
+def _forward(places: DataFrame, row: Sequence[str]) -> DataFrame:
+    """case_id and same_rows: does going through ``places`` (a distinct row, its first position on both sides) in gold order go forward in the other?"""
     placed = previous_row(
         places.withColumn("__at", F.coalesce("gold", F.lit(-1))),
         ["case_id"],
-        ["__at", "gen"],
+        ["__at", "gen", *row],
         # Rows of the generated result alone decide their case wherever they stand: they are dealt by their own place.
         F.coalesce(F.floor(F.col("gold") / F.lit(POSITIONS_PER_CHUNK)), -1 - F.floor(F.col("gen") / F.lit(POSITIONS_PER_CHUNK))).cast("bigint"),
         ["gen"],
@@ -200,62 +207,52 @@ def _in_sequence(results: DataFrame) -> DataFrame:
     return placed.groupBy("case_id").agg(F.bool_and(both & forward).alias("same_rows"))
 
 
-def _column_prints(results: DataFrame) -> DataFrame:
-    """Order-free print of each column: size, non-null size and two sums of hashes."""
-    cells = results.select("case_id", "side", F.posexplode("row").alias("ordinal", "value"))
-    big = T.DecimalType(20, 0)
-    present = F.col("value").isNotNull()
-    return cells.groupBy("case_id", "side", "ordinal").agg(
-        F.count("*").alias("n"),
-        F.count("value").alias("filled"),
-        F.sum(F.when(present, F.xxhash64("value").cast(big))).alias("print_a"),
-        F.sum(F.when(present, F.xxhash64("value", F.lit("second")).cast(big))).alias("print_b"),
-    )
+def _paired(results: DataFrame, found: DataFrame, rtol: float, atol: float) -> tuple[DataFrame, bool]:
+    """``found`` (rows of ``columns.per_case``, written down) with ``picks`` and the places of ``near`` ones; and whether there are any."""
+    none = F.array().cast("array<struct<gold_ordinal:int,gen_ordinal:int>>")
+    maybe = found.select("case_id", F.inline(columns.maybe_near(rtol, atol)))
+    any_near = not maybe.isEmpty()
+    if any_near:
+        near = columns.near_pairs(results, landed(maybe, "maybe_near"), rtol, atol)
+        found = found.join(near, "case_id", "left")
+    found = found.withColumn("near", F.coalesce("near", none) if any_near else none).withColumn("picks", columns.picks(F.col("near")))
+    taken = F.filter("near", lambda p: F.get("picks", p["gold_ordinal"]) == p["gen_ordinal"])
+    found = found.withColumn("near", F.transform(taken, lambda p: p["gold_ordinal"]))
+    return landed(found, "picks") if any_near else found, any_near
 
 
-def column_match(results: DataFrame) -> DataFrame:
+def column_match(results: DataFrame, rtol: float = columns.RTOL, atol: float = columns.ATOL) -> DataFrame:
     """Pair gold and generated columns with the same multiset of values, left to right, each once.
 
-    Columns with equal prints are numbered by ordinal on both sides and joined on that
-    number, which is what taking them greedily gives.
+    Values with fractions may differ by ``atol`` + ``rtol`` times the generated value, sorted column by sorted column.
     """
-    same = ["case_id", "n", "filled", "print_a", "print_b"]
-    number = F.row_number().over(Window.partitionBy("side", *same).orderBy("ordinal"))
-    prints = _column_prints(results).withColumn("nth", number)
-    paired = prints.groupBy(*same, "nth").agg(
-        F.max(_on_side("gold", F.col("ordinal"))).alias("gold_ordinal"),
-        F.max(_on_side("gen", F.col("ordinal"))).alias("gen_ordinal"),
-    )
-    return paired.filter("gold_ordinal is not null").select("case_id", "gold_ordinal", "gen_ordinal")
+    found, _ = _paired(results, landed(columns.per_case(columns.sums(results)), "column_sums"), rtol, atol)
+    pairs = F.transform("gold", lambda x, i: F.struct(x["ordinal"].alias("gold_ordinal"), F.nullif(F.get("picks", i), F.lit(-1)).alias("gen_ordinal")))
+    return found.select("case_id", F.inline(pairs))
 
 
-def _contained(results: DataFrame) -> DataFrame:
-    """Cases whose gold columns all have a partner and agree with them row by row."""
-    lists = column_match(results).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("gold_ordinal", "gen_ordinal"))).alias("pairs")
-    )
-    picks = lists.filter(~F.exists("pairs", lambda p: p["gen_ordinal"].isNull())).select(
-        "case_id", F.transform("pairs", lambda p: p["gen_ordinal"]).alias("picks")
-    )
+def _picked(side: Column, row: Column, picks: Column) -> Column:
+    return F.when(side == "gold", row).otherwise(F.transform(picks, lambda i: F.get(row, i)))
+
+
+def _contained(results: DataFrame, found: DataFrame, any_near: bool, rtol: float, atol: float) -> DataFrame:
+    """case_id and same_rows of the cases whose gold columns all have a partner: do they agree row by row?"""
+    whole = found.filter("size(gold) > 0 AND NOT array_contains(picks, -1)").select("case_id", "picks", "near")
     # The list of picks is one small row per case; AQE broadcasts it when its measured size
     # allows and splits a busy case otherwise.
-    picked = results.join(picks, "case_id").withColumn(
-        "row",
-        F.when(F.col("side") == "gold", F.col("row")).otherwise(F.transform("picks", lambda i: F.get("row", i))),
-    )
-    return _set_difference(picked)
+    rows = results.join(whole, "case_id").select("case_id", "side", "pos", _picked(F.col("side"), F.col("row"), F.col("picks")).alias("row"), F.col("near").alias("places"))
+    exact = _set_difference(rows.filter("size(places) = 0"))
+    return exact.unionByName(columns.near_rows(rows.filter("size(places) > 0"), rtol, atol)) if any_near else exact
 
 
-def subset_match(results: DataFrame, shapes: DataFrame) -> DataFrame:
+def subset_match(results: DataFrame, shapes: DataFrame, rtol: float = columns.RTOL, atol: float = columns.ATOL) -> DataFrame:
     """Gold is contained in the generated result: extra columns may occur, extra rows may not.
 
-    An empty gold result is contained in nothing.
+    An empty gold result is contained in nothing. Values within the tolerance count as the same.
     """
-    return (
-        _case_shapes(shapes)
-        .join(_contained(results), "case_id", "left")
-        .select("case_id", F.coalesce("same_rows", F.lit(False)).alias("subset_match"))
-    )
+    found, any_near = _paired(results, landed(columns.per_case(columns.sums(results)), "column_sums"), rtol, atol)
+    contained = _contained(results, found, any_near, rtol, atol)
+    return shapes.select("case_id").distinct().join(contained, "case_id", "left").select("case_id", F.coalesce("same_rows", F.lit(False)).alias("subset_match"))
 
 
 # --- questions and gold alternatives ------------------------------------------------
@@ -283,47 +280,85 @@ def alternatives(cases: DataFrame, sql: str = "query") -> DataFrame:
     return exploded(cases, ["case_id"], parts, "alternative_sql", "alternative")
 
 
-MAX_BRACE_COLUMNS = 20
+#: Columns in one pair of braces that are expanded unless the caller says otherwise: 2^n - 1 statements.
+BRACE_COLUMNS = 24
+_VARIANTS_PER_ROW = 1 << 14
+
+
+def _brace_names(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_extract(text, r"\{([^}]*)\}", 1), ","), lambda n: F.trim(n))
+
+
+def _has_braces(text: Column) -> Column:
+    return text.rlike(r"\{[^}]*\}")
+
+
+def _nth_subset(n: Column, nth: Column, most: int) -> Column:
+    """The places 0 .. n - 1 in the ``nth`` subset, in order of size and then of its places.
+
+    Computed from its number: first the size, then place by place how many subsets go on with it.
+    """
+    table = [[math.comb(a, b) for b in range(most + 1)] for a in range(most + 1)]
+    literal = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x}L" for x in line) + ")" for line in table) + ")")
+    ways = lambda a, b: F.get(F.get(literal, a), b)
+    start = F.struct(F.lit(1).alias("size"), nth.cast("bigint").alias("left"))
+
+    def by_size(state: Column, _: Column) -> Column:
+        here = ways(n, state["size"])
+        return F.when(state["left"] >= here, F.struct((state["size"] + 1).alias("size"), (state["left"] - here).alias("left"))).otherwise(state)
 
+    def by_place(state: Column, place: Column) -> Column:
+        here = F.when(state["open"] > 0, ways(n - 1 - place, state["open"] - 1)).otherwise(F.lit(0).cast("bigint"))
+        taken = F.struct((state["open"] - 1).alias("open"), state["left"].alias("left"), F.concat(state["places"], F.array(place)).alias("places"))
+        passed = F.struct(state["open"].alias("open"), (state["left"] - here).alias("left"), state["places"].alias("places"))
+        return F.when((state["open"] > 0) & (state["left"] < here), taken).otherwise(passed)
 
-def expand_braces(alternatives: DataFrame, sql: str = "alternative_sql") -> DataFrame:
+    sized = F.aggregate(F.sequence(F.lit(1), n), start, by_size)
+    empty = F.array().cast("array<int>")
+    begun = let(sized, lambda s: F.struct(s["size"].alias("open"), s["left"].alias("left"), empty.alias("places")))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), begun, by_place)["places"]
+
+
+def too_wide(alternatives: DataFrame, sql: str = "alternative_sql", most: int = BRACE_COLUMNS) -> DataFrame:
+    """case_id, alternative and the error record of texts whose braces hold more than ``most`` columns."""
+    wide = alternatives.filter(_has_braces(F.col(sql)) & (F.size(_brace_names(F.col(sql))) > most))
+    message = F.concat(F.lit("Gold query failed to execute: more than "), F.lit(str(most)), F.lit(" columns in braces"))
+    return wide.select(*[c for c in wide.columns if c != sql], message.alias("exec_error_msg"))
+
+
+def expand_braces(alternatives: DataFrame, sql: str = "alternative_sql", most: int = BRACE_COLUMNS) -> DataFrame:
     """``{a, b}`` becomes one statement per non-empty column subset, smallest first.
 
-    The number of statements doubles per column, so more than ``MAX_BRACE_COLUMNS``
-    columns in one pair of braces is an error, never a cut.
+    The number of statements doubles per column; each is computed from its own number, so no row holds them all. Texts with more than
+    ``most`` columns in one pair of braces (62 at most) give no statement here but an error record in ``too_wide``.
     """
+    if not 0 < most <= 62:
+        raise ValueError("the number of a subset needs 62 bits at most")
     text = F.col(sql)
-    inner = F.regexp_extract(text, r"\{([^}]*)\}", 1)
-    names = F.transform(F.split(inner, ","), lambda n: F.trim(n))
-    n = F.size(names)
-    checked = F.when(n <= MAX_BRACE_COLUMNS, n).otherwise(
-        F.raise_error(F.concat(F.lit("too many columns in braces: "), inner)).cast("int")
-    )
-    picks = F.transform(
-        F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), checked) - 1),
-        lambda mask: F.filter(F.sequence(F.lit(0), checked - 1), lambda bit: F.getbit(mask, bit) == 1),
-    )
-    ordered = F.array_sort(F.transform(picks, lambda p: F.struct(F.size(p).alias("size"), p.alias("bits"))))
-    chosen = F.transform(ordered, lambda p: F.array_join(F.transform(p["bits"], lambda b: F.get(names, b)), ", "))
-    has_braces = text.rlike(r"\{[^}]*\}")
+    keep = [c for c in alternatives.columns if c != sql]
+    rows = alternatives.filter(~_has_braces(text) | (F.size(_brace_names(text)) <= most))
+    rows = rows.select(*keep, text.alias(sql), F.when(_has_braces(text), _brace_names(text)).alias("_names"))
+    count = F.when(F.col("_names").isNull(), F.lit(1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size("_names")) - 1)
+    # Two levels, so that the numbers of a wide text are not one array.
+    last = F.floor((count - 1) / F.lit(_VARIANTS_PER_ROW)).cast("bigint")
+    rows = rows.select("*", count.alias("_count"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+    first = F.col("_block") * _VARIANTS_PER_ROW
+    rows = rows.select("*", F.explode(F.sequence(first, F.least(first + (_VARIANTS_PER_ROW - 1), F.col("_count") - 1))).alias("_nth"))
+    places = _nth_subset(F.size("_names"), F.col("_nth"), most)
+    chosen = F.array_join(F.transform(places, lambda p: F.get("_names", p)), ", ")
     start = F.instr(text, "{")
     close = F.position(F.lit("}"), text, start)
     left, right = F.substring(text, F.lit(1), start - 1), F.substring(text, close + 1, F.length(text))
-    variants = F.when(
-        has_braces,
-        F.transform(
-            chosen, lambda c: F.concat(left, c, F.replace(right, F.lit("GROUP BY {}"), F.concat(F.lit("GROUP BY "), c)))
-        ),
-    ).otherwise(F.array(text))
-    keep = [c for c in alternatives.columns if c != sql]
-    return exploded(alternatives, keep, variants, "variant_sql", "variant")
+    filled = let(chosen, lambda c: F.concat(left, c, F.replace(right, F.lit("GROUP BY {}"), F.concat(F.lit("GROUP BY "), c))))
+    number = F.col("_nth").cast("int") if most <= 31 else F.col("_nth")
+    return rows.select(*keep, number.alias("variant"), F.when(F.col("_names").isNull(), text).otherwise(filled).alias("variant_sql"))
 
 
 def any_gold(verdicts: DataFrame) -> DataFrame:
     """Exact if any alternative is exact; correct if any is exact or a subset.
 
-    Takes the rows of ``verdicts``, one per alternative (map each alternative to a case of its own and
-    its ``case_id`` back before), or rows with the flags ``exact`` and ``subset``.
+    Takes the rows of ``verdicts``, one per alternative with the ``case_id`` of its case
+    (``running.evaluate`` does so), or rows with the flags ``exact`` and ``subset``.
     """
     if "exact_match" in verdicts.columns:
         flags = verdicts.select("case_id", (F.col("exact_match") == 1).alias("exact"), (F.col("correct") == 1).alias("subset"))
@@ -333,131 +368,80 @@ def any_gold(verdicts: DataFrame) -> DataFrame:
     )
 
 
-# --- running cases ------------------------------------------------------------------
+# --- verdicts from sums first --------------------------------------------------------
 
 
-def _keys_per_statement(spark: SparkSession, cases: Sequence[tuple[int, str, str]]) -> dict[str, list[str]]:
-    """ORDER BY key names of each statement text."""
-    texts = spark.createDataFrame([(sql,) for case in cases for sql in case[1:]], "sql string")
-    names = F.transform(sqltext.order_items(F.col("sql")), sqltext.order_item_name)
-    return {row[0]: row[1] for row in texts.select("sql", names).collect()}
-
+def _tests(found: DataFrame) -> DataFrame:
+    """``found`` with what the sums decide and ``tests``, what only the rows can."""
+    ordered = F.col("gold_ordered").eqNullSafe(F.col("gen_ordered"))
+    arranged_same = F.col("gold_arranged").eqNullSafe(F.col("gen_arranged"))
+    free = ~F.col("order_sensitive") | F.coalesce("both_ordered", F.lit(False))
+    decided = ordered | (free & arranged_same)
+    rows_on_both = F.col("gold_arranged").isNotNull() & F.col("gen_arranged").isNotNull()
+    exact = _same_width() & decided
+    may_be = _same_width() & ~decided & rows_on_both
+    tests = F.array(F.when(may_be & free, "set"), F.when(may_be & ~free, "sequence"), F.when(~exact & F.col("whole"), "contained"))
+    return found.select("case_id", exact.alias("exact"), F.array_compact(tests).alias("tests"), "picks", "near")
 
-def _cut_off(context: SparkContext, group: str, timeout: float, done: threading.Event) -> None:
-    """Cancel a group's jobs ``timeout`` seconds after its first task began."""
-    tracker = context.statusTracker()
-    began = None
-    while not done.wait(0.05):
-        if began is None:
-            jobs = filter(None, map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)))
-            stages = filter(None, (tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds))
-            if any(stage.numActiveTasks or stage.numCompletedTasks for stage in stages):
-                began = time.monotonic()
-        elif time.monotonic() - began > timeout:
-            context.cancelJobGroup(group)
-            return
 
+def judged(cases: DataFrame, results: DataFrame, shapes: DataFrame) -> DataFrame:
+    """One row per case from one pass over the rows: sums of whole rows and of columns, flags and column names."""
+    as_arranged = _arranged(F.col("columns"), F.col("order_keys"), F.col("row"))
+    flags = order_sensitive(cases).select("case_id", "order_sensitive")
+    found = columns.per_case(columns.sums(results, as_arranged))
+    return flags.join(_case_shapes(shapes), "case_id", "left").join(found, "case_id", "left")
 
-def run_cases(
-    spark: SparkSession,
-    cases: Sequence[tuple[int, str, str]],
-    decimals: int | None = None,
-    at_once: int = 8,
-    timeout: float | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Run gold and generated statements ``(case_id, gold, gen)`` against the current views.
-
-    Returns (long results, shapes, errors). The driver only submits statements, ``at_once``
-    at a time; rows go from the executors to the shared folder. A statement that fails, or
-    runs longer than ``timeout`` seconds from its first task on, is an error record; waiting for
-    free slots does not count. In a session with fair scheduling a slow statement does not hold up the others.
-    """
-    path = fresh_path(spark, "results")
-    spark.createDataFrame([], LONG_SCHEMA).write.parquet(f"{path}/none")
-    keys = _keys_per_statement(spark, cases)
-    context = spark.sparkContext
-
-    def land(case_id: int, side: str, sql: str) -> tuple[list[str] | None, str | None]:
-        group = uuid.uuid4().hex
-        context.setJobGroup(group, f"case {case_id} {side}", interruptOnCancel=True)
-        context.setLocalProperty("spark.scheduler.pool", group)
-        done = threading.Event()
-        if timeout:
-            threading.Thread(target=_cut_off, args=(context, group, timeout, done), daemon=True).start()
-        try:
-            df = dedup_names(spark.sql(sql))
-            place = F.monotonically_increasing_id()  # follows the order the statement asked for
-            rows = to_long(df, F.lit(case_id), side, place, df.columns, keys[sql], decimals)
-            rows.write.parquet(f"{path}/{case_id}-{side}")
-            return df.columns, None
-        except Exception as error:  # noqa: BLE001 - whatever the statement raised becomes its record
-            reason = error.getCondition() if isinstance(error, PySparkException) else None
-            name = "Gold" if side == "gold" else "Generated"
-            return None, f"{name} query failed to execute: {reason or type(error).__name__}"
-        finally:
-            done.set()
-
-    todo = [(case_id, side, sql) for case_id, *both in cases for side, sql in zip(("gold", "gen"), both)]
-    with ThreadPoolExecutor(at_once) as pool:
-        landed = list(pool.map(lambda t: land(*t), todo))
-    shapes = [(c, s, columns) for (c, s, _), (columns, _) in zip(todo, landed) if columns is not None]
-    errors = [(c, s, message) for (c, s, _), (_, message) in zip(todo, landed) if message]
-    # Only folders of finished statements are read.
-    folders = [f"{path}/none", *[f"{path}/{c}-{s}" for c, s, _ in shapes]]
-    return (
-        dense_positions(spark.read.schema(LONG_SCHEMA).parquet(*folders)),
-        spark.createDataFrame(shapes, SHAPE_SCHEMA),
-        spark.createDataFrame(errors, "case_id bigint, side string, exec_error_msg string"),
-    )
 
+def undecided(results: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of cases that the sums leave open, once per test: case_id, test, side, pos, row as the test reads it, places of near columns."""
+    open_cases = found.filter("size(tests) > 0").select("case_id", F.explode("tests").alias("test"), "picks", "near")
+    contained = F.col("test") == "contained"
+    row = F.when(contained, _picked(F.col("side"), F.col("row"), F.col("picks"))).otherwise(_arranged(F.col("columns"), F.col("order_keys"), F.col("row")))
+    places = F.when(contained, F.col("near")).otherwise(F.array().cast("array<int>"))
+    return results.join(open_cases, "case_id").select("case_id", "test", "side", "pos", row.alias("row"), places.alias("places"))
 
-def dense_positions(results: DataFrame) -> DataFrame:
-    """Replace order-preserving ids by 0, 1, 2, ... per (case, side).
 
-    An id is (partition << 33) + row, so a row's position is its row number plus the
-    sizes of the partitions before it: a window over one row per partition, not per row.
-    """
-    part = F.shiftright("pos", 33)
-    sizes = results.groupBy("case_id", "side", part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("case_id", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("case_id", "side", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    row = F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        results.withColumn("part", part)
-        .join(offsets, ["case_id", "side", "part"])
-        .withColumn("pos", row + F.col("offset"))
-        .drop("part", "offset")
-    )
+def _places(rows: DataFrame) -> DataFrame:
+    """case_id, test, a, b and the first positions on both sides; a row travels as 128 bits, not as text."""
+    first = lambda side: F.min(_on_side(side, F.col("pos"))).alias(side)
+    return rows.select("case_id", "test", "side", "pos", *columns.hashes(columns.marked(F.col("row")))).groupBy("case_id", "test", "a", "b").agg(first("gold"), first("gen"))
 
 
-def verdicts(cases: DataFrame, results: DataFrame, shapes: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def verdicts(
+    cases: DataFrame, results: DataFrame, shapes: DataFrame, errors: DataFrame | None = None, rtol: float = columns.RTOL, atol: float = columns.ATOL
+) -> DataFrame:
     """One row per case: exact, correct, error flag and message.
 
     ``cases`` needs ``case_id``, ``question`` and ``query_category``. Exact means equal by
     position, or equal after normalising: as a set, or as a sequence where order matters
     and the statements leave it open. Correct adds the subset match.
+
+    Sums of hashes decide most cases in one pass over ``results``, which should be written down. Only
+    cases that they leave open go through a second pass, and only tests that a case needs are planned.
     """
-    flags = order_sensitive(cases).select("case_id", "order_sensitive")
-    # Only cases that may need it go through the sequence test.
-    in_order = results.join(flags.filter("order_sensitive").select("case_id"), "case_id", "left_semi")
-    ordered_text = results.groupBy("case_id").agg(F.bool_and(F.size("order_keys") > 0).alias("same_rows"))
-    tests = {
-        "ordered_equal": _in_place(results),
-        "set_equal": _set_difference(arranged(results)),
-        "sequence_equal": _in_sequence(in_order),
-        "contained": _contained(results),
-        "both_ordered": ordered_text,
-    }
-    # One row per case and test, brought together by one small aggregate.
-    told = None
-    for name, same in tests.items():
-        rows = same.select("case_id", F.lit(name).alias("test"), "same_rows")
-        told = rows if told is None else told.unionByName(rows)
-    told = told.groupBy("case_id").agg(*[F.bool_or(F.when(F.col("test") == n, F.col("same_rows"))).alias(n) for n in tests])
-    joined = flags.join(_case_shapes(shapes), "case_id", "left").join(told, "case_id", "left")
-    free = ~F.col("order_sensitive") | F.coalesce("both_ordered", F.lit(False))
-    normalised = F.when(free, F.coalesce("set_equal", F.lit(True))).otherwise(F.coalesce("sequence_equal", F.lit(True)))
-    exact = _same_width() & (F.coalesce("ordered_equal", F.lit(True)) | normalised)
+    found, any_near = _paired(results, landed(judged(cases, results, shapes), "judged"), rtol, atol)
+    whole = F.coalesce((F.size("gold") > 0) & ~F.array_contains("picks", -1), F.lit(False))
+    found = landed(_tests(found.withColumn("whole", whole)), "case_tests")
+    asked = {row[0] for row in found.select(F.explode("tests")).distinct().collect()}
+    told = found.select("case_id", "exact", *[F.lit(None).cast("boolean").alias(t) for t in ("set", "sequence", "contained")])
+    if asked:
+        rows = undecided(results, found)
+        places = _places(rows.filter("size(places) = 0") if any_near else rows)
+        if "sequence" in asked:
+            places = landed(places, "places")
+        both = F.col("gold").isNotNull() & F.col("gen").isNotNull()
+        by_test = places.groupBy("case_id").agg(*[F.bool_and(F.when(F.col("test") == t, both)).alias(t) for t in ("set", "contained")])
+        told = told.select("case_id", "exact").join(by_test, "case_id", "left")
+        if "sequence" in asked:
+            told = told.join(_forward(places.filter("test = 'sequence'"), ["a", "b"]).withColumnRenamed("same_rows", "sequence"), "case_id", "left")
+        else:
+            told = told.withColumn("sequence", F.lit(None).cast("boolean"))
+        if any_near:
+            near = columns.near_rows(rows.filter("size(places) > 0"), rtol, atol).withColumnRenamed("same_rows", "alike")
+            told = told.join(near, "case_id", "left").withColumn("contained", F.coalesce("contained", "alike")).drop("alike")
+    joined = told
+    true = lambda name: F.coalesce(name, F.lit(False))
+    exact = true("exact") | true("set") | true("sequence")
     message = F.lit("")
     failed = F.lit(False)
     if errors is not None:
@@ -468,10 +452,7 @@ def verdicts(cases: DataFrame, results: DataFrame, shapes: DataFrame, errors: Da
     return joined.select(
         "case_id",
         F.when(failed, 0).otherwise(exact.cast("int")).alias("exact_match"),
-        F.when(failed, 0)
-        .otherwise((exact | F.coalesce("contained", F.lit(False))).cast("int"))
-        .alias("correct"),
+        F.when(failed, 0).otherwise((exact | true("contained")).cast("int")).alias("correct"),
         failed.cast("int").alias("error_db_exec"),
         message.alias("exec_error_msg"),
     )
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlassay.operators import compare
+from sqlassay.operators import compare, running
 from sqlassay.plans.fixtures import derived, expand, oracle, table
 from sqlassay.session import landed
 
@@ -81,8 +81,7 @@ def r7(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r8(spark: SparkSession, d: str) -> DataFrame:
-    results = line_results(spark, d)
-    return compare.set_equal(results, compare.shapes_of(results))
+    return compare.set_equal(line_results(spark, d))
 
 
 def r9(spark: SparkSession, d: str) -> DataFrame:
@@ -112,15 +111,25 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     return compare.expand_braces(r13(spark, d))
 
 
+# Gold texts with alternatives and braces: the second alternative is right, a subset of a
+# brace's columns is, one is right with further columns, none is, none can be run, the generated one cannot.
+ALTERNATIVE_STATEMENTS = [
+    (1, "SELECT count(*) AS n FROM nation; SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey AS r, count(*) AS c FROM nation GROUP BY n_regionkey"),
+    (2, "SELECT {o_orderstatus, o_orderpriority}, max(o_totalprice) AS top FROM orders GROUP BY {}", "SELECT o_orderpriority, max(o_totalprice) AS m FROM orders GROUP BY o_orderpriority"),
+    (3, "SELECT c_name FROM customer WHERE c_acctbal > 0; SELECT c_custkey FROM customer", "SELECT c_custkey, c_mktsegment FROM customer"),
+    (4, "SELECT {s_suppkey, s_name} FROM supplier WHERE s_acctbal > 0", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal <= 0"),
+    (5, "SELECT r_title FROM region; SELECT FROM region", "SELECT r_name FROM region"),
+    (6, "SELECT p_name FROM part", "SELECT p_title FROM part"),
+]
+
+
 def r15(spark: SparkSession, d: str) -> DataFrame:
-    runs = derived(spark, d, "runs")
-    return compare.any_gold(
-        runs.select(
-            (F.col("case_id") % 1000).alias("case_id"),
-            (F.col("exact_match") == 1).alias("exact"),
-            (F.col("correct") == 1).alias("subset"),
-        )
-    )
+    """Every alternative of every case run and compared, the best of them told per case."""
+    for name in ("nation", "orders", "customer", "supplier", "region", "part"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    cases = spark.createDataFrame(ALTERNATIVE_STATEMENTS, "case_id bigint, query string, gen string")
+    cases = cases.withColumns({"question": F.lit("List them"), "query_category": F.lit("default")})
+    return running.evaluate(spark, cases).select("case_id", (F.col("exact_match") == 1).alias("exact"), (F.col("correct") == 1).alias("correct"), (F.col("error_db_exec") == 1).alias("failed"))
 
 
 # Statements over the given tables: same, reordered, extra column, wrong filter, failing.
@@ -145,7 +154,7 @@ STATEMENTS = [
 def run_statements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     for name in ("customer", "orders", "part", "nation", "lineitem"):
         table(spark, d, name).createOrReplaceTempView(name)
-    return compare.run_cases(spark, STATEMENTS)
+    return running.run_cases(spark, spark.createDataFrame(STATEMENTS, "case_id bigint, gold string, gen string"))
 
 
 def r16(spark: SparkSession, d: str) -> DataFrame:
@@ -248,8 +257,17 @@ ORACLES = {
           CAST(row_number() OVER (PARTITION BY case_id, alternative ORDER BY len(bits), bits) - 1 AS INT) AS variant,
           CASE WHEN a = 0 THEN text ELSE concat(substr(text, 1, a - 1), chosen,
             replace(substr(text, b + 1), 'GROUP BY {}', concat('GROUP BY ', chosen))) END AS variant_sql FROM texts""",
-    "R15_any_gold": """SELECT case_id % 1000 AS case_id, bool_or(exact_match = 1) AS exact,
-        bool_or(exact_match = 1 OR correct = 1) AS correct FROM {runs} r GROUP BY 1""",
+    "R15_any_gold": """WITH verdict AS (
+          SELECT 1 AS case_id, (SELECT count(*) FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1
+              EXCEPT SELECT n_regionkey, count(*) FROM nation GROUP BY 1) x) = 0 AS exact, true AS correct, false AS failed
+          UNION ALL SELECT 2, (SELECT count(*) FROM (SELECT o_orderpriority, max(o_totalprice) FROM orders GROUP BY 1
+              EXCEPT SELECT o_orderpriority, max(o_totalprice) FROM orders GROUP BY 1) x) = 0, true, false
+          UNION ALL SELECT 3, false, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT
+              SELECT c_custkey FROM (SELECT c_custkey, c_mktsegment FROM customer) y) x) = 0, false
+          UNION ALL SELECT 4, same, same, false FROM (SELECT (SELECT count(*) FROM supplier WHERE s_acctbal > 0) = 0
+              AND (SELECT count(*) FROM supplier WHERE s_acctbal <= 0) = 0 AS same) z
+          UNION ALL SELECT 5, false, false, true UNION ALL SELECT 6, false, false, true)
+        SELECT CAST(case_id AS BIGINT) AS case_id, exact, correct, failed FROM verdict""",
     "R16_run_cases": "\nUNION ALL ".join(
         f"SELECT CAST({case} AS BIGINT) AS case_id, '{side}' AS side, n_rows, n_rows - 1 AS last_pos, "
         f"CAST({width} AS BIGINT) AS n_columns, false AS failed FROM (SELECT count(*) AS n_rows FROM ({sql}) q) c"

@@ -22,6 +22,16 @@ def clean_name(name: str) -> str:
     return f"_{clean}" if clean[0].isdigit() else clean
 
 
+def load_table(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """A CSV file as (table name, table), both names and columns cleaned."""
+    name = clean_name(os.path.splitext(os.path.basename(path.rstrip("/")))[0])
+    raw = spark.read.csv(path, header=True, inferSchema=True, multiLine=False)
+    columns = [clean_name(c) for c in raw.columns]
+    if len(set(columns)) < len(columns):
+        raise ValueError(f"columns of {path} clean to the same name: {columns}")
+    return name, raw.toDF(*columns)
+
+
 def load_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFrame]:
     """CSV files as tables and temp views named after the file.
 
@@ -34,14 +44,10 @@ def load_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFram
         if name in tables:
             raise ValueError(f"{path} cleans to a table name already taken: {name}")
         try:
-            raw = spark.read.csv(path, header=True, inferSchema=True, multiLine=False)
+            _, tables[name] = load_table(spark, path)
         except PySparkException as error:
             log.warning("skipping %s: %s", path, error.getCondition())
             continue
-        columns = [clean_name(c) for c in raw.columns]
-        if len(set(columns)) < len(columns):
-            raise ValueError(f"columns of {path} clean to the same name: {columns}")
-        tables[name] = raw.toDF(*columns)
         tables[name].createOrReplaceTempView(f"`{name}`" if not re.match(r"^\w+$", name) else name)
     return tables
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sqlassay.operators import compare
+from sqlassay.operators import columns, compare, running
+from sqlassay.session import landed
 
 
 def long_table(spark, cases):
@@ -19,6 +20,10 @@ def long_table(spark, cases):
     return spark.createDataFrame(rows, compare.LONG_SCHEMA), spark.createDataFrame(shapes, compare.SHAPE_SCHEMA)
 
 
+def statements(spark, rows):
+    return spark.createDataFrame(rows, "case_id bigint, gold string, gen string")
+
+
 def flags(df, name):
     return {r["case_id"]: r[name] for r in df.collect()}
 
@@ -152,10 +157,33 @@ def test_braces_smallest_first(spark):
     found = [r["variant_sql"] for r in compare.expand_braces(alternatives).orderBy("variant").collect()]
     assert found[0] == "SELECT a FROM t GROUP BY a"
     assert [f.count(",") for f in found] == [0, 0, 0, 2, 2, 2, 4]
-    many = "{" + ", ".join(f"c{i}" for i in range(21)) + "}"
-    too_many = spark.createDataFrame([(1, 0, f"SELECT {many}")], "case_id bigint, alternative int, alternative_sql string")
-    with pytest.raises(Exception, match="too many columns"):
-        compare.expand_braces(too_many).collect()
+
+
+def by_size(names):
+    from itertools import combinations
+
+    return [", ".join(c) for k in range(1, len(names) + 1) for c in combinations(names, k)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9])
+def test_every_subset_comes_from_its_number(spark, n):
+    names = [f"c{i}" for i in range(n)]
+    rows = [(1, 0, "SELECT {" + ",".join(names) + "} FROM t"), (1, 1, "SELECT 1")]
+    found = compare.expand_braces(spark.createDataFrame(rows, "case_id bigint, alternative int, alternative_sql string"))
+    got = [r["variant_sql"] for r in found.filter("alternative = 0").orderBy("variant").collect()]
+    assert got == [f"SELECT {c} FROM t" for c in by_size(names)]
+    assert [tuple(r) for r in found.filter("alternative = 1").collect()] == [(1, 1, 0, "SELECT 1")]
+
+
+def test_wide_braces_are_rows_or_an_error_record(spark):
+    wide = lambda n: "SELECT {" + ", ".join(f"c{i}" for i in range(n)) + "} FROM t"
+    rows = spark.createDataFrame([(1, 0, wide(21)), (2, 0, wide(30))], "case_id bigint, alternative int, alternative_sql string")
+    found = compare.expand_braces(rows)
+    assert found.count() == 2**21 - 1
+    last = found.filter(f"variant >= {2**21 - 3}").orderBy("variant").collect()
+    assert [r["variant_sql"] for r in last] == [wide(21).replace("{c0, ", "").replace("}", ""), wide(21).replace("{", "").replace("}", "")]
+    assert [(r["case_id"], r["exec_error_msg"]) for r in compare.too_wide(rows).collect()] == [(2, "Gold query failed to execute: more than 24 columns in braces")]
+    assert compare.expand_braces(rows, most=4).count() == 0 and compare.too_wide(rows, most=4).count() == 2
 
 
 def test_run_cases_end_to_end(spark):
@@ -170,7 +198,7 @@ def test_run_cases_end_to_end(spark):
         (6, "SELECT id FROM numbers WHERE m = 9", "SELECT id FROM numbers WHERE m > 9"),
         (7, "SELECT 1 / m FROM numbers", "SELECT m FROM numbers"),
     ]
-    results, shapes, errors = compare.run_cases(spark, cases)
+    results, shapes, errors = running.run_cases(spark, statements(spark, cases))
     asked = spark.createDataFrame([(c[0], "Sort" if c[0] == 1 else "List", "default") for c in cases], "case_id bigint, question string, query_category string")
     found = {r["case_id"]: r for r in compare.verdicts(asked, results, shapes, errors).collect()}
     got = {c: (r["exact_match"], r["correct"], r["error_db_exec"]) for c, r in found.items()}
@@ -189,7 +217,7 @@ def test_slow_statement_is_cut_off(spark):
     spark.range(10).createOrReplaceTempView("tiny")
     slow = "SELECT max(sha2(repeat(cast(id as string), 200), 512)) AS m FROM range(80000000)"
     for case in [(1, "SELECT id FROM tiny", slow), (1, slow, "SELECT id FROM tiny")]:
-        _, _, errors = compare.run_cases(spark, [case], timeout=2.0)
+        _, _, errors = running.run_cases(spark, statements(spark, [case]), timeout=2.0)
         assert [(r["case_id"], r["side"]) for r in errors.collect()] == [(1, "gen" if case[2] == slow else "gold")]
 
 
@@ -236,3 +264,235 @@ def test_repeated_names(spark):
     df = spark.sql("SELECT 1 AS b, 2 AS a, 3 AS b")
     assert compare.dedup_names(df).columns == ["b_0", "a", "b_2"]
     assert compare.sort_columns(df).columns == ["a", "b_0", "b_2"]
+
+
+# ---- tolerance
+
+
+def near(spark, gold, gen, **sides):
+    columns_of = lambda rows: [f"c{i}" for i in range(len(rows[0]))]
+    return long_table(spark, {1: {"gold": (columns_of(gold), gold), "gen": (columns_of(gen), gen)}})
+
+
+@pytest.mark.parametrize(
+    ("gold", "gen", "same"),
+    [
+        (["1.5"], ["1.5000001"], True),
+        (["1"], ["1.0000001"], True),
+        (["1.5"], ["1.501"], False),
+        (["1000000"], ["1000001"], False),  # whole numbers are exact
+        (["0.1249999999", "3.5"], ["3.5", "0.1250000001"], True),  # across a rounding edge
+        (["1.5", "2.5"], ["1.5000001", "2.6"], False),
+        (["1.5", None], ["1.5000001", None], True),
+        (["1.5", None], ["1.5000001", "1.5"], False),
+        (["0.000000001"], ["0.000000002"], True),  # the absolute part
+        (["a", "1.5"], ["a", "1.5000001"], False),  # not numbers alone
+        (["1.5"], ["1.5000001", "1.5"], False),
+        (["1e20", "2.5"], ["2.5", "1.000001e20"], True),
+        (["-1.5"], ["1.5"], False),
+    ],
+)
+def test_values_within_the_tolerance_are_the_same(spark, gold, gen, same):
+    results, shapes = near(spark, [(x, i + 5) for i, x in enumerate(gold)], [(i + 5, x) for i, x in enumerate(gen)])
+    pairs = {(r["gold_ordinal"], r["gen_ordinal"]) for r in compare.column_match(results).collect()}
+    assert ((0, 1) in pairs) == same
+
+
+def test_near_rows_agree_row_by_row(spark):
+    gold = [("x", "1.5"), ("y", "2.5"), ("z", "2.5000001"), ("w", "7")]
+    cases = {
+        1: {"gold": (["k", "v"], gold), "gen": (["v", "k", "more"], [(f"{v}00000001" if "." in v else v, k, 9) for k, v in gold[::-1]])},
+        2: {"gold": (["k", "v"], gold), "gen": (["k", "v"], [("x", "2.50000001"), ("y", "1.50000001"), *gold[2:]])},  # columns near, rows swapped
+        3: {"gold": (["k", "v"], gold), "gen": (["k", "v"], [("x", "1.50000001"), ("y", "2.5000001"), ("z", "2.5"), ("w", "7")])},  # near in another order
+        4: {"gold": (["k", "v"], gold), "gen": (["k", "v"], gold)},
+        5: {"gold": (["k", "v"], gold), "gen": (["k", "v"], [(k, f"{float(v) * 1.1:.6f}") for k, v in gold])},
+    }
+    results, shapes = long_table(spark, cases)
+    assert flags(compare.subset_match(results, shapes), "subset_match") == {1: True, 2: False, 3: True, 4: True, 5: False}
+    asked = spark.createDataFrame([(c, "List", "default") for c in cases], "case_id bigint, question string, query_category string")
+    found = {r["case_id"]: (r["exact_match"], r["correct"]) for r in compare.verdicts(asked, results, shapes).collect()}
+    assert found == {1: (0, 1), 2: (0, 0), 3: (0, 1), 4: (1, 1), 5: (0, 0)}
+    strict = flags(compare.subset_match(results, shapes, rtol=0.0, atol=0.0), "subset_match")
+    assert strict == {1: False, 2: False, 3: False, 4: True, 5: False}
+
+
+def test_ranks_of_a_long_column_with_one_frequent_value(spark):
+    rng = random.Random(6)
+    gold = [(i, "0.5" if i % 3 else f"{rng.random():.9f}") for i in range(2000)]
+    gen = [(f"{float(v) + 1e-10:.12f}", i) for i, v in gold]
+    rng.shuffle(gen)
+    results, shapes = near(spark, gold, gen)
+    assert flags(compare.subset_match(results, shapes), "subset_match") == {1: True}
+    wanted = spark.createDataFrame([(1, 1, 0)], "case_id bigint, gold_ordinal int, gen_ordinal int")
+    ranks = columns.ranked(results, wanted).collect()
+    for side, ordinal, rows in (("gold", 1, [v for _, v in gold]), ("gen", 0, [v for v, _ in gen])):
+        got = sorted((r["rank"], r["value"]) for r in ranks if r["side"] == side and r["ordinal"] == ordinal)
+        assert got == list(enumerate(sorted(map(float, rows))))
+
+
+# ---- verdicts in few passes
+
+
+def brute_verdicts(cases, questions):
+    out = {}
+    for case, sides in cases.items():
+        (gold_names, gold, *_), (gen_names, gen, *_) = sides["gold"], sides["gen"]
+        gold, gen = ([tuple(None if v is None else str(v) for v in r) for r in rows] for rows in (gold, gen))
+        ordered = len(gold_names) == len(gen_names) and gold == gen
+        by_name = lambda names, rows: [tuple(r[i] for i in sorted(range(len(names)), key=lambda i: names[i])) for r in rows]
+        a, b = by_name(gold_names, gold), by_name(gen_names, gen)
+        if "sort" in questions[case].lower():
+            alike = list(dict.fromkeys(a)) == list(dict.fromkeys(b))
+        else:
+            alike = set(a) == set(b)
+        exact = ordered or (len(gold_names) == len(gen_names) and alike)
+        picks = []
+        for i in range(len(gold_names) if gold else 0):
+            column = sorted(r[i] or "" for r in gold)
+            picks.append(next((j for j in range(len(gen_names)) if j not in picks and sorted(r[j] or "" for r in gen) == column), None))
+        inside = bool(gold) and None not in picks and set(gold) == {tuple(r[j] for j in picks) for r in gen}
+        out[case] = (int(exact), int(exact or inside))
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(17)
+    cases, questions = {}, {}
+    for case in range(160):
+        width = rng.randint(1, 3)
+        names = [f"c{i}" for i in range(width)]
+        gold = [tuple(rng.choice(["a", "b", "=", None, 1]) for _ in names) for _ in range(rng.randint(0, 5))]
+        gen, gen_names = gold[:], names[:]
+        for _ in range(rng.randint(0, 2)):
+            change = rng.randint(0, 5)
+            if change == 0:
+                rng.shuffle(gen)
+            elif change == 1 and gen:
+                gen.append(rng.choice(gen))
+            elif change == 2 and gen:
+                gen[rng.randrange(len(gen))] = tuple("z" for _ in gen_names)
+            elif change == 3:
+                gen = [(*r, "more") for r in gen]
+                gen_names = [*gen_names, f"n{len(gen_names)}"]
+            elif change == 4:
+                order = rng.sample(range(len(gen_names)), len(gen_names))
+                gen, gen_names = [tuple(r[i] for i in order) for r in gen], [gen_names[i] for i in order]
+        cases[case] = {"gold": (names, gold), "gen": (gen_names, gen)}
+        questions[case] = rng.choice(["Sort them", "List them"])
+    results, shapes = long_table(spark, cases)
+    asked = spark.createDataFrame([(c, q, "default") for c, q in questions.items()], "case_id bigint, question string, query_category string")
+    found = {r["case_id"]: (r["exact_match"], r["correct"]) for r in compare.verdicts(asked, landed(results, "results"), shapes).collect()}
+    assert found == brute_verdicts(cases, questions)
+
+
+def test_a_null_is_not_an_empty_cell_nor_another_place(spark):
+    pairs = {1: ([(None, "a")], [("a", None)]), 2: ([("", None)], [(None, "")]), 3: ([("a", "b")], [("ab", "")]), 4: ([(None,)], [("-",)])}
+    cases = {c: {"gold": (["x", "y"][: len(g[0])], g), "gen": (["x", "y"][: len(g[0])], n)} for c, (g, n) in pairs.items()}
+    results, shapes = long_table(spark, cases)
+    assert not any(flags(compare.set_equal(results, shapes), "set_equal").values())
+    assert not any(flags(compare.set_equal(results), "set_equal").values())
+    asked = spark.createDataFrame([(c, "List", "default") for c in cases], "case_id bigint, question string, query_category string")
+    assert not any(r["exact_match"] for r in compare.verdicts(asked, results, shapes).collect())
+
+
+def test_verdicts_read_their_results_twice(spark, results, monkeypatch):
+    """Sums in one pass, open cases in a second; each shuffles sums or 128 bits a row."""
+    rows, shapes = results
+    rows, shapes = landed(rows, "results"), landed(shapes, "shapes")
+    asked = landed(spark.createDataFrame([(c, "List", "default") for c in range(1, 13)], "case_id bigint, question string, query_category string"), "asked")
+    plans = []
+    keep = compare.landed
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(compare, "landed", watched)
+    plans.append(compare.verdicts(asked, rows, shapes)._jdf.queryExecution().executedPlan().toString())
+    folder = rows.inputFiles()[0].split("/sqlassay/")[1].split("/")[0]
+    assert sum(plan.count(folder) for plan in plans) <= 2 and not any("Window" in plan for plan in plans)
+    assert sum(plan.count(" Exchange hashpartitioning") + plan.count("- Exchange ") - plan.count("- Exchange hashpartitioning") for plan in plans) <= 6, plans
+
+
+# ---- cases with tables of their own, alternatives, whole runs
+
+
+def csv(path, name, text):
+    folder = path / name.split("/")[0]
+    folder.mkdir(exist_ok=True)
+    (path / name).write_text(text)
+    return str(path / name)
+
+
+def test_a_case_sees_its_own_files_only(spark, tmp_path):
+    a = csv(tmp_path, "one/people.csv", "id,name\n1,Ann\n2,Bob\n")
+    b = csv(tmp_path, "two/people.csv", "id,name\n7,Cy\n")
+    pets = csv(tmp_path, "two/pets.csv", "pet,owner\nRex,7\n")
+    tables = running.shared_tables(spark, [a, b, pets, a])
+    spark.range(1).createOrReplaceTempView("outer_view")
+    rows = [
+        (1, "SELECT name FROM people", "SELECT name FROM people ORDER BY id", [a]),
+        (2, "SELECT name FROM people", "SELECT p.name FROM people p JOIN pets ON owner = id", [b, pets]),
+        (3, "SELECT name FROM people", "SELECT pet FROM pets", [a]),  # another case's table
+        (4, "SELECT * FROM outer_view", "SELECT 1", [a]),
+        (5, "SELECT id FROM outer_view", "SELECT id FROM outer_view", None),
+        (6, "SELECT 1", "SELECT 1", [a, b]),  # one name twice
+        (7, "SELECT 1", "SELECT 1", ["/nowhere.csv"]),
+    ]
+    cases = spark.createDataFrame(rows, "case_id bigint, gold string, gen string, files array<string>")
+    results, shapes, errors = running.run_cases(spark, cases, tables)
+    cells = {}
+    for r in results.collect():
+        cells.setdefault((r["case_id"], r["side"]), []).append(r["row"][0])
+    assert sorted(cells[1, "gold"]) == ["Ann", "Bob"] and cells[2, "gold"] == cells[2, "gen"] == ["Cy"] and cells[5, "gold"] == ["0"]
+    failed = {(r["case_id"], r["side"]): r["exec_error_msg"] for r in errors.collect()}
+    assert set(failed) == {(3, "gen"), (4, "gold"), (6, "gold"), (6, "gen"), (7, "gold"), (7, "gen")}
+    assert "TABLE_OR_VIEW_NOT_FOUND" in failed[3, "gen"] and "people" in failed[6, "gold"] and "/nowhere.csv" in failed[7, "gen"]
+    assert not spark.catalog.tableExists("people")
+
+
+def test_folders_do_not_grow_with_the_cases(spark, tmp_path):
+    import glob
+    import os
+
+    cases = spark.range(60).select(F.col("id").alias("case_id"), F.concat(F.lit("SELECT "), F.col("id"), F.lit(" AS x")).alias("gold"), F.lit("SELECT 7").alias("gen"))
+    results, shapes, errors = running.run_cases(spark, cases.repartition(3), at_once=4)
+    assert results.count() == 120 and shapes.count() == 120 and errors.count() == 0
+    assert {r["case_id"]: r["row"][0] for r in results.filter("side = 'gold'").collect()} == {i: str(i) for i in range(60)}
+    root = os.path.dirname(os.path.dirname(results.inputFiles()[0].replace("file://", "").replace("file:", "")))
+    assert len(glob.glob(f"{root}/slot=*")) == 4
+
+
+def test_rows_of_an_unfinished_statement_do_not_count(spark, monkeypatch):
+    spark.createDataFrame([(1,), (0,)], "m int").repartition(2, "m").createOrReplaceTempView("some")
+    results, shapes, errors = running.run_cases(spark, statements(spark, [(1, "SELECT m FROM some", "SELECT 1 / m FROM some")]))
+    assert {r["side"] for r in results.collect()} == {"gold"} and [r["side"] for r in errors.collect()] == ["gen"]
+    nothing = running.run_cases(spark, statements(spark, []))
+    assert [df.count() for df in nothing] == [0, 0, 0]
+
+
+def test_benchmark_from_cases_to_summary(spark, tmp_path):
+    from sqlassay.sources.results import run_history, write_results
+
+    spark.createDataFrame([(1, "a", 2.5), (2, "b", 3.5)], "id int, k string, v double").createOrReplaceTempView("things")
+    rows = [
+        (1, "List", "default", "SELECT {id, k} FROM things; SELECT v FROM things", "SELECT k FROM things", None, 0.5),
+        (2, "List", "default", "SELECT k FROM things", "SELECT k, v FROM things", "", 1.5),
+        (3, "List", "default", "SELECT v FROM things", "SELECT v * 1.0000001D AS w FROM things", "", 1.0),
+        (4, "List", "default", "SELECT nothing FROM things; SELECT k FROM things", "SELECT k FROM things", "", 1.0),
+        (5, "List", "default", "SELECT k FROM things", "SELECT nothing FROM things", "", 1.0),
+        (6, "List", "default", "SELECT k FROM things", None, "model said no", 1.0),
+        (7, "List", "default", "SELECT k FROM things", " ", "", 1.0),
+        (8, "List", "default", " ; ", "SELECT k FROM things", "", 1.0),
+        (9, "List", "default", "SELECT {" + ", ".join("k" * 9) + "} FROM things", "SELECT k FROM things", "", 1.0),
+    ]
+    cases = spark.createDataFrame(rows, "case_id bigint, question string, query_category string, query string, gen string, generation_error_msg string, latency_seconds double")
+    found, total = running.benchmark(spark, cases, most=8)
+    outcomes = {r["case_id"]: r["outcome"] for r in found.collect()}
+    assert outcomes == {
+        1: "exact", 2: "subset", 3: "subset", 4: "exact", 5: "execution_error", 6: "generation_error", 7: "generation_error", 8: "execution_error", 9: "execution_error",
+    }
+    (row,) = total.collect()
+    assert (row["processed"], row["correct"], row["exact"], row["generation_errors"], row["execution_errors"]) == (9, 4, 2, 2, 3)
+    write_results(found.drop("outcome", "skip_message"), str(tmp_path / "run"), run="run_id")
+    assert run_history(spark, str(tmp_path / "run"), "question string").count() == 9
