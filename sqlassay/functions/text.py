@@ -28,15 +28,56 @@ def regex_score(output: Column, pattern: str) -> Column:
     return output.rlike(f"(?U){pattern}").cast("double")
 
 
+#: A key with its colon, another string, what is between strings, a quote that is never closed.
+_JSON_PARTS = r'("(?:[^"\\]|\\.)*"\s*:)|("(?:[^"\\]|\\.)*")|[^"]+|"'
+
+
+_END = "end of the text in question"
+
+
+def is_json(text: Column) -> Column:
+    """Is the text one JSON value? Keys may repeat, whatever the session's setting for variants says."""
+    parts = F.regexp_extract_all(text, F.lit(_JSON_PARTS), F.lit(0))
+    # Every key gets its place, which makes it unique and leaves all other syntax to the parser.
+    unique = F.transform(parts, lambda part, i: F.when(part.rlike(r'(?s)^".*"\s*:$'), F.concat(F.lit('"'), i.cast("string"), F.lit(" "), F.substring(part, F.lit(2), F.length(part)))).otherwise(part))
+
+    def parsed(value: Column) -> Column:
+        # The parser stops after the first value: as the first of two list items the text has to be one value and all of it.
+        items = F.try_parse_json(F.concat(F.lit("["), value, F.lit(f', "{_END}"]')))
+        return F.coalesce(F.try_variant_get(items, "$[1]", "string") == _END, F.lit(False))
+
+    return F.coalesce(F.when(parsed(text), True).otherwise(parsed(F.array_join(unique, ""))), F.lit(False))
+
+
+def last_of_each(data: Column) -> Column:
+    """A parsed JSON object as a map in which the last value of a repeated key stays."""
+    keys = F.map_keys(data)
+    last = F.filter(F.map_entries(data), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(last)
+
+
 def json_score(text: Column) -> Column:
     """1.0 if the text is one JSON value; a bare ``null`` counts, an empty text does not."""
-    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)).cast("double")
+    return is_json(text).cast("double")
+
+
+#: Distances up to this are sought first; the band then doubles until it holds the distance.
+NARROWEST = 64
 
 
 def levenshtein_distance(output: Column, reference: Column) -> Column:
-    """Edit distance, -1 for a null side; equal texts are not walked through."""
-    same = F.when(output == reference, F.lit(0)).otherwise(F.levenshtein(output, reference))
-    return F.coalesce(same, F.lit(-1))
+    """Edit distance, -1 for a null side; equal texts are not walked through.
+
+    Sought in bands of 64, 128, 256, ... around the diagonal, so the cost follows the distance and not the square of the lengths.
+    """
+    longest, apart = F.greatest(F.length(output), F.length(reference)), F.abs(F.length(output) - F.length(reference))
+    doublings = lambda size: F.greatest(F.ceil(F.log2(size / F.lit(NARROWEST))), F.lit(0)).cast("int")
+    # The lengths' difference is the least the distance can be, the longer length the most.
+    steps = F.sequence(doublings(F.greatest(apart, F.lit(1))), doublings(longest))
+    in_band = lambda k: F.call_function("levenshtein", output, reference, F.call_function("shiftleft", F.lit(NARROWEST), k))
+    banded = F.aggregate(steps, F.lit(-1), lambda found, k: F.when(found >= 0, found).otherwise(in_band(k)))
+    distance = F.when(output == reference, 0).when(longest <= NARROWEST, F.levenshtein(output, reference)).otherwise(banded)
+    return F.coalesce(distance, F.lit(-1))
 
 
 def levenshtein_score(output: Column, reference: Column) -> Column:

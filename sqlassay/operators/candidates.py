@@ -23,12 +23,12 @@ def strip_fences(rows: DataFrame, text: str = "response") -> DataFrame:
 
 def _parsed(response: Column) -> tuple[Column, Column]:
     """(candidates, error code) of an answer that should be a JSON list."""
-    value = F.try_parse_json(response)
+    readable = tx.is_json(response)
     items = F.from_json(response, "array<string>")
-    is_list = F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+    is_list = response.rlike(r"^\s*\[")
     none = F.array().cast("array<string>")
-    candidates = F.when(value.isNull(), F.array(response)).when(is_list, F.coalesce(items, none)).otherwise(none)
-    code = F.when(value.isNull(), F.lit(FALLBACK)).when(~is_list, F.lit(NOT_A_LIST))
+    candidates = F.when(~readable, F.array(response)).when(is_list, F.coalesce(items, none)).otherwise(none)
+    code = F.when(~readable, F.lit(FALLBACK)).when(~is_list, F.lit(NOT_A_LIST))
     return candidates, code
 
 

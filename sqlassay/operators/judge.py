@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlassay.functions.text import fill_from, placeholders, token_count
+from sqlassay.functions.text import fill_from, is_json, last_of_each, placeholders, token_count
 from sqlassay.sources.tables import small_table
 
 _ANSWER = '\nAnswer with one JSON object: {"score": <number>, "reason": "<short explanation>"}'
@@ -125,8 +125,8 @@ def as_verdict(response: Column) -> Column:
 
     0.0 is the best score of two metrics, so a failed answer also carries an error code.
     """
-    data = F.from_json(response, T.MapType(T.StringType(), T.StringType()))
-    is_object = F.try_parse_json(response).isNotNull() & data.isNotNull()
+    data = last_of_each(F.from_json(response, T.MapType(T.StringType(), T.StringType())))
+    is_object = is_json(response) & data.isNotNull()
     raw = F.try_element_at(data, F.lit("score"))
     number = raw.try_cast("double")
     code = (

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlassay.functions.text import token_count
 from sqlassay.functions.times import micros
 from sqlassay.operators.ordered import measured_span, running_sums
+from sqlassay.session import landed
 
 PROMPT_FAILED = "PROMPT GENERATION FAILED"
 SKIPPED = "Skipped due to generation error"
+#: A median's bin with so many values at most is ranked at once.
+FEW = 10_000
 
 
 def _text(name: str) -> Column:
@@ -108,32 +113,52 @@ def running_accuracy(
     return rows.select(run, case, *sums, (F.col("correct_so_far") / F.col("done") * 100).alias("accuracy"))
 
 
-def exact_median(scores: DataFrame, by: list[str], score: str = "score", width: float = 1e-4) -> DataFrame:
+def exact_median(scores: DataFrame, by: list[str], score: str = "score", bins: int = 1024) -> DataFrame:
     """Median per group without a group's values in one task.
 
-    Counts per bin of ``width`` find the bins that hold the middle ranks; only the
-    distinct values of those bins are then ranked.
+    Each round counts a group's values in ``bins`` equal bins between its bounds. Where the two middle ranks
+    fall into two bins, or into one of equal values, the median is known; else the bin's least and greatest value are the next bounds.
+    One row per group and at most ``bins`` rows per group and round meet, whatever the values are. NaN is the greatest value.
     """
-    binned = scores.filter(F.col(score).isNotNull()).withColumn("__bin", F.floor(F.col(score) / F.lit(width)))
-    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
-        binned.groupBy(*by, "__bin")
-        .agg(F.count("*").alias("__n"))
-        .withColumns({"__upto": F.sum("__n").over(upto), "__all": F.sum("__n").over(Window.partitionBy(*by))})
-        .withColumns({"__low": F.expr("(__all + 1) div 2"), "__high": F.expr("(__all + 2) div 2")})
-        .filter("__upto >= __low and __upto - __n < __high")
-        .select(*by, "__bin", (F.col("__upto") - F.col("__n")).alias("__below"), "__low", "__high")
-    )
-    inside = Window.partitionBy(*by, "__bin").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    values = (
-        binned.join(bins, [*by, "__bin"])
-        .groupBy(*by, "__bin", "__below", "__low", "__high", score)
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(inside) + F.col("__below"))
-    )
-    low = F.min(F.when(F.col("__upto") >= F.col("__low"), F.col(score)))
-    high = F.min(F.when(F.col("__upto") >= F.col("__high"), F.col(score)))
-    return values.groupBy(*by).agg(((low + high) / 2).alias("median_score"))
+    value, number = F.col("__value"), ~F.isnan("__value")
+    rows = scores.filter(F.col(score).isNotNull()).select(*by, F.col(score).cast("double").alias("__value"))
+    keys = {k: f"__key_{k}" for k in by}
+    state = rows.groupBy(*by).agg(F.count("*").alias("__all"), F.count_if(number).alias("__numbers"), F.min(F.when(number, value)).alias("__least"), F.max(F.when(number, value)).alias("__most"))
+    ranks = {"__below": F.lit(0).cast("bigint"), "__low": F.expr("(__all + 1) div 2"), "__high": F.expr("(__all + 2) div 2")}
+    state = state.withColumn("__few", (F.col("__all") <= FEW) & (F.col("__all") == F.col("__numbers")))
+    state = landed(state.withColumns(ranks).withColumnsRenamed(keys), "median_bounds")
+    found = [_ranked_median(rows, state.filter("__few"), keys)]
+    state = state.filter("NOT __few").drop("__few")
+    while not state.isEmpty():
+        on = reduce(Column.__and__, [rows[k].eqNullSafe(state[keys[k]]) for k in by], F.lit(True))
+        # Halved, so that the difference of two doubles cannot be infinite.
+        place = (value / 2 - F.col("__least") / 2) / (F.col("__most") / 2 - F.col("__least") / 2) * bins
+        at = F.when(~number, bins).when(F.col("__least") == F.col("__most"), 0).otherwise(F.least(F.floor(place), F.lit(bins - 1)))
+        inside = rows.join(state, on).filter(value.between(F.col("__least"), F.col("__most")) | ~number).withColumn("__bin", at)
+        group = [*keys.values(), "__below", "__low", "__high"]
+        counted = inside.groupBy(*group, "__bin").agg(F.count("*").alias("__n"), F.min("__value").alias("__first"), F.max("__value").alias("__last"))
+        upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+        counted = counted.withColumn("__upto", F.col("__below") + upto)
+        holder = lambda rank: F.min(F.when(F.col("__upto") >= F.col(rank), F.struct("__bin", "__first", "__last", "__n", (F.col("__upto") - F.col("__n")).alias("__before"))))
+        middle = landed(counted.groupBy(*group).agg(holder("__low").alias("__a"), holder("__high").alias("__b")), "median_bins")
+        few = F.col("__a.__n") <= FEW
+        known = (F.col("__a.__bin") != F.col("__b.__bin")) | (F.col("__a.__first") == F.col("__a.__last"))
+        found.append(middle.filter(known).select(*[F.col(new).alias(old) for old, new in keys.items()], ((F.col("__a.__last") + F.col("__b.__first")) / 2).alias("median_score")))
+        bounds = [F.col("__a.__first").alias("__least"), F.col("__a.__last").alias("__most"), F.col("__a.__before").alias("__below")]
+        left = landed(middle.filter(~known).select(*keys.values(), *bounds, "__low", "__high", few.alias("__few")), "median_bounds")
+        found.append(_ranked_median(rows, left.filter("__few"), keys))
+        state = left.filter("NOT __few").drop("__few")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ranked_median(rows: DataFrame, state: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Medians of groups with few values between their bounds, by ranking these."""
+    on = reduce(Column.__and__, [rows[k].eqNullSafe(state[new]) for k, new in keys.items()], F.lit(True))
+    inside = rows.join(state, on).filter(F.col("__value").between(F.col("__least"), F.col("__most")))
+    rank = F.col("__below") + F.row_number().over(Window.partitionBy(*keys.values()).orderBy("__value"))
+    at = lambda r: F.max(F.when(F.col("__rank") == F.col(r), F.col("__value")))
+    both = inside.withColumn("__rank", rank).groupBy(*keys.values()).agg(((at("__low") + at("__high")) / 2).alias("median_score"))
+    return both.withColumnsRenamed({new: old for old, new in keys.items()})
 
 
 def score_stats(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -145,7 +170,9 @@ def score_stats(scores: DataFrame, by: list[str], score: str = "score") -> DataF
         F.max(score).alias("max_score"),
         F.stddev_samp(score).alias("std_score"),
     )
-    return plain.join(exact_median(scores, by, score), by)
+    median = exact_median(scores, by, score).withColumnsRenamed({k: f"__key_{k}" for k in by})
+    on = reduce(Column.__and__, [plain[k].eqNullSafe(median[f"__key_{k}"]) for k in by], F.lit(True))
+    return plain.join(median, on).drop(*[f"__key_{k}" for k in by])
 
 
 def label_counts(scores: DataFrame, label: str = "label") -> DataFrame:

@@ -152,3 +152,47 @@ def test_rendered_text(spark):
     text = al.render(al.health_events(checks)).first()
     assert text["subject"] == "CRITICAL: Model Health Check Rate Limited"
     assert "  interval_seconds: 60\n" in text["body"] and text["body"].endswith("\nPlease investigate.")
+
+
+def streamed(spark, batches, name):
+    path = fresh_path(spark, name)
+    for batch in batches:
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return al.classify(check_stream(spark, path, SCHEMA, files_per_batch=1))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_settings_per_check_in_one_stream(spark, rows, files):
+    other = al.CheckSettings(interval_seconds=600, rate_limit_cooldown_seconds=30, reminder_interval_hours=3, send_recovery_email=False)
+    table = spark.createDataFrame([(0, 1, 5, 5, 1, True), (0, 2, 600, 30, 3, False), (99, 7, 1, 1, 1, True)], "check_id bigint, version bigint, interval_seconds int, rate_limit_cooldown_seconds int, reminder_interval_hours int, send_recovery_email boolean")
+    ordered = sorted(rows, key=lambda r: (r[2], r[1]))
+    step = -(-len(ordered) // files)
+    stream = streamed(spark, [ordered[i * step : (i + 1) * step] for i in range(files)], "per_check")
+    want = sorted(expected_events([r for r in rows if r[0] == 0], other) + expected_events([r for r in rows if r[0] != 0], SETTINGS))
+    assert sorted(events_of(drain(st.stream_alerts(stream, SETTINGS, table), "alerts"))) == want
+    # The batch, with the same table.
+    checks = al.with_settings(classified(spark, rows), st.newest(table).drop("version"), SETTINGS)
+    assert sorted(events_of(al.health_events(checks))) == want
+
+
+def at_minute(event, minute, response, check=1):
+    return (check, event, START + datetime.timedelta(minutes=minute), "Hi", response, None, 0.1, 1, 1, True)
+
+
+def test_reminders_without_a_row_and_forgotten_checks(spark):
+    # Check 1 fails and goes quiet; check 2 keeps the watermark moving.
+    batches = [[at_minute(1, 0, "bad"), at_minute(2, 1, "Hi", 2)], [at_minute(3, 150, "Hi", 2)], [at_minute(4, 400, "Hi", 2)], [at_minute(5, 401, "bad"), at_minute(6, 402, "Hi", 2)]]
+    stream = streamed(spark, batches, "quiet")
+    found = drain(st.stream_events(stream, SETTINGS, late_after="1 minute", forget_after_hours=5), "events").collect()
+    minute = lambda r: (r["at"] - int(START.replace(tzinfo=datetime.timezone.utc).timestamp()) * 10**6) / 6e7
+    got = sorted((minute(r), r["event_id"] or 0, r["kind"]) for r in found if r["check_id"] == 1)
+    # Reminders are due every hour until the state ends after five hours; then the same fault is a new one.
+    assert got == [(0, 1, al.FAILURE), (60, 0, al.REMINDER), (120, 0, al.REMINDER), (180, 0, al.REMINDER), (240, 0, al.REMINDER), (300, 0, al.REMINDER), (401, 5, al.FAILURE)]
+    with pytest.raises(ValueError):
+        st.stream_events(stream, forget_after_hours=5)
+
+
+def test_alerts_and_late_rows_in_one_run(spark):
+    stream = streamed(spark, [[at_minute(1, 0, "bad"), at_minute(2, 10, "Hi")], [at_minute(3, 5, "worse"), at_minute(4, 20, "worse")]], "both")
+    found = {(r["event_id"], r["kind"], r["late_rows"]) for r in drain(st.stream_events(stream, SETTINGS), "events").collect()}
+    assert found == {(1, al.FAILURE, 0), (2, al.RECOVERY, 0), (3, st.LATE, 1), (4, al.FAILURE, 1)}

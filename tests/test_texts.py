@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,104 @@ def test_rates_of_an_empty_run(spark):
 def test_history_without_some_columns(spark):
     found = summary.history_summary(spark.createDataFrame([("a", " "), ("a", "x"), ("a", None)], "run string, generation_error_msg string")).first()
     assert (found["processed"], found["correct"], found["generation_errors"], found["avg_latency_s"]) == (3, 0, 1, 0.0)
+
+
+@pytest.mark.parametrize(
+    ("text", "valid"),
+    [
+        ('{"a": 1, "a": 2}', 1.0), ('[{"a": 1, "a": {"b": 1, "b": 2}}]', 1.0), ('{"a": ": \\"a\\":", "a": []}', 1.0), ('{"a": 1 "a": 2}', 0.0),
+        ('{"a": 1, "a"}', 0.0), ('{"a": 1, "a": 2} x', 0.0), ('{"a", "a": 1}', 0.0), ('{"a": 1, "a: 2}', 0.0), ('{"\\x": 1, "\\x": 2}', 0.0), ('"a": 1, "a": 2', 0.0),
+    ],
+)
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_repeated_keys_are_json(spark, text, valid, allowed):
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+    try:
+        assert one(spark, tx.json_score(F.lit(text))) == valid
+        rows = spark.createDataFrame([(text,)], "t string")  # read, not folded
+        assert rows.select(tx.json_score(F.col("t")).alias("x")).first()["x"] == valid
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    from sqlassay.operators import candidates, judge
+
+    rows = spark.createDataFrame([('{"score": 1, "reason": "a", "x": "1", "score": 0.5, "x": "2", "reason": "b"}',)], "response string")
+    (r,) = judge.parse_verdicts(rows).collect()
+    assert (r["score"], r["reason"], r["metadata"], r["error_code"]) == (0.5, "b", {"x": "2"}, None)
+    lists = spark.createDataFrame([('{"q": 1, "q": 2}',), ('[{"q": 1, "q": 2}]',), ("[1, ",)], "response string")
+    assert [r["parse_code"] for r in candidates.with_candidates(lists).collect()] == [candidates.NOT_A_LIST, None, candidates.FALLBACK]
+
+
+def edited(text, edits, rng):
+    letters = list(text)
+    for _ in range(edits):
+        k = rng.randrange(len(letters))
+        rng.choice([lambda: letters.insert(k, "#"), lambda: letters.pop(k), lambda: letters.__setitem__(k, "%")])()
+    return "".join(letters)
+
+
+def distance_by_hand(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_distances_in_doubling_bands_are_exact(spark):
+    rng = random.Random(4)
+    texts = []
+    for size in (1, 63, 64, 65, 66, 130, 300):
+        for edits in (0, 1, 20, 64, 65, 140):
+            a = "".join(rng.choice("abé😀") for _ in range(size))
+            texts.append((a, edited(a + "x" * 3, min(edits, size), rng)))
+        texts.append(("".join(rng.choice("ab") for _ in range(size)), "".join(rng.choice("cd") for _ in range(size * 2))))
+    texts += [("", "x" * 200), ("x" * 200, "")]
+    df = spark.createDataFrame(texts, "a string, b string")
+    found = df.select("a", "b", tx.levenshtein_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r["d"] == distance_by_hand(r["a"], r["b"]) for r in found)
+
+
+def test_long_texts_a_few_edits_apart(spark):
+    import time
+
+    rng = random.Random(5)
+    a = "".join(rng.choice("abcdefghij ") for _ in range(20_000))
+    b = list(a)
+    for k in range(1000, 20_000, 2000):
+        b[k] = "#"
+    df = spark.createDataFrame([(a, "".join(b))], "a string, b string")
+    start = time.monotonic()
+    assert df.select(tx.levenshtein_distance(F.col("a"), F.col("b")).alias("d")).first()["d"] == 10
+    assert time.monotonic() - start < 30
+
+
+@pytest.mark.parametrize("few", [0, 40])
+@pytest.mark.parametrize("name", ["wide", "equal", "skewed", "signed", "odd"])
+def test_medians_of_groups_at_any_scale(spark, name, few, monkeypatch):
+    monkeypatch.setattr(summary, "FEW", few)
+    rng = random.Random(name)
+    values = {
+        "wide": [rng.random() * 1e6 for _ in range(3001)],
+        "equal": [0.25] * 4000 + [1.0] * 3999,
+        "skewed": [10.0 ** rng.uniform(-9, 9) for _ in range(501)],
+        "signed": [rng.choice([-1.0, 1.0]) * 1.7e308 * rng.random() for _ in range(400)],
+        "odd": [float("nan")] * 5 + [1.0, 2.0, None],
+    }[name]
+    groups = {None: values, 1: values[::2], 2: [3.5]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, score double")
+    found = {r["g"]: r["median_score"] for r in summary.exact_median(df, ["g"], bins=64).collect()}
+    for g, vs in groups.items():
+        vs = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
+        want = (vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2 if abs(vs[len(vs) // 2]) < 1e300 else None
+        assert want is None or found[g] == want or (want != want and found[g] != found[g]), (g, found[g], want)
+    assert {r["g"]: r["n"] for r in summary.score_stats(df, ["g"]).collect()} == {g: sum(v is not None for v in vs) for g, vs in groups.items()}
+
+
+def test_no_scores_no_median(spark):
+    df = spark.createDataFrame([(1, None)], "g int, score double")
+    assert summary.exact_median(df, ["g"]).collect() == []
