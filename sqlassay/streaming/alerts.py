@@ -55,6 +55,13 @@ class _AlertProcessor(StatefulProcessor):
             if version >= known:
                 known, setting = version, given
             interval, cooldown, remind_after, recover = setting
+            if self.timers and at > last_at:
+                # What was due before this row, wherever batches end.
+                times, over = self._due(at - 1, last_at, current, reminded, remind_after)
+                found += [(key[0], None, t, REMINDER, None, current, late) for t in times]
+                reminded = times[-1] if times else reminded
+                if over:
+                    last_at, last_event, allowed, current, late = NEVER, -1, NEVER, None, 0
             if (at, event_id) <= (last_at, last_event):
                 late += 1
                 found.append((key[0], event_id, at, LATE, status, None, late))
@@ -83,31 +90,39 @@ class _AlertProcessor(StatefulProcessor):
         self._set_timers(last_at, current, reminded, remind_after)
         yield pd.DataFrame(found, columns=NAMES)
 
+    def _due(self, upto: int, last_at: int, current: str | None, reminded: int, remind_after: int) -> tuple[list[int], bool]:
+        """Times of reminders without a row, up to a time, and whether the check is forgotten by then."""
+        end = None if self.forget_after is None or last_at == NEVER else last_at + self.forget_after
+        over = end is not None and end <= upto
+        last = end if over else upto
+        lasting = current is not None and remind_after > 0
+        return list(range(int(reminded + remind_after), int(last) + 1, int(remind_after))) if lasting else [], over
+
     def _set_timers(self, last_at: int, current: str | None, reminded: int, remind_after: int) -> None:
-        """The next reminder that is due without a row, and the end of the state."""
+        """For the next reminder that is due without a row, and for the end of the state."""
         if not self.timers:
             return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if current is not None:
+        if current is not None and remind_after > 0:
             self.handle.registerTimer(-(-int(reminded + remind_after) // MILLI))
         if self.forget_after is not None and last_at != NEVER:
             self.handle.registerTimer(-(-int(last_at + self.forget_after) // MILLI))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * MILLI
         found = []
         if self.state.exists():
             values = list(self.state.get())
             last_at, current, reminded, late, remind_after = values[0], values[3], values[5], values[6], values[10]
-            if current is not None and now >= reminded + remind_after:
-                reminded = values[5] = reminded + remind_after
-                found.append((key[0], None, reminded, REMINDER, None, current, late))
-                self.state.update(tuple(values))
-            if self.forget_after is not None and now >= last_at + self.forget_after:
+            now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * MILLI
+            times, over = self._due(now, last_at, current, reminded, remind_after)
+            found = [(key[0], None, t, REMINDER, None, current, late) for t in times]
+            if over:
                 self.state.clear()
             else:
-                self._set_timers(last_at, current, reminded, remind_after)
+                values[5] = times[-1] if times else reminded
+                self.state.update(tuple(values))
+                self._set_timers(last_at, current, values[5], remind_after)
         yield pd.DataFrame(found, columns=NAMES)
 
     def close(self) -> None:
