@@ -13,7 +13,7 @@ numbering is written to the shared folder, so a lost executor cannot change it.
 digest that really clashes makes the contents travel again.
 
 Defined cases: a null text counts as empty; an empty text is one empty block; rows that
-repeat a whole (doc_id, text) are one document whose ``group_size`` counts them all; a null
+repeat a whole (doc_id, text) are named once and given back as often as they occur, each counted in ``group_size``; a null
 doc_id is a document like any other, but never the one that stays unless all its copies
 have none; an empty table gives an empty result; other columns are not read.
 """
@@ -30,6 +30,7 @@ from sqlassay.session import landed
 
 BLOCK = 4096
 _KEY = ["doc_id", "sha"]
+_PORTION = 4096
 
 
 def named(rows: DataFrame, content: str, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -79,13 +80,22 @@ def identities(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], C
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the one with the largest doc_id stays.
     """
     identity = landed(identities(docs, block, digest), "identities")
     groups = identity.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     groups = landed(groups, "identity_groups")  # read back, both sides of the join are dealt anew and a large group can be split
-    return identity.join(groups, ["n_blocks", "name"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    found = identity.join(groups, ["n_blocks", "name"]).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "copies"
     )
+    names = [c for c in found.columns if c != "copies"]
+    once, often = found.filter("copies = 1").select(*names), identity.filter("copies > 1")
+    if often.isEmpty():
+        return once
+    # A row that repeats is given back in portions, dealt out before each is unfolded, so that no task writes them all.
+    portions = found.filter("copies > 1").select(*names, "copies", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_PORTION})")).alias("portion"))
+    size = F.least(F.lit(_PORTION).cast("bigint"), F.col("copies") - F.col("portion") * _PORTION)
+    again = portions.withColumn("size", size).repartition("doc_id", "text_sha256", "portion")
+    return once.unionByName(again.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("size").cast("int")))).select(*names))
