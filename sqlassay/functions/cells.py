@@ -30,11 +30,15 @@ def significant(value: Column, digits: int = SIGNIFICANT_DIGITS) -> Column:
     """A double to so many significant digits."""
     scale = F.pow(F.lit(10.0), F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(value))).cast("double"))
     usual = F.abs(value).between(*_PLAIN)
-    return F.when(usual, F.rint(value * scale) / scale).otherwise(value)
+    # Far from one the scale itself is inexact; there the digits are taken from the text.
+    tiny = F.format_string(f"%.{digits - 1}e", value).cast("double")
+    return F.when(usual & (F.abs(value) < F.lit(_SMALL)), tiny).when(usual, F.rint(value * scale) / scale).otherwise(value)
 
 
 #: Sizes written without an exponent; what is outside has one, whatever its type.
 _PLAIN = (1e-15, 1e15)
+#: Below this a double's twelve digits may reach beyond the decimals of the plain form's type.
+_SMALL = 1e-9
 _NUMBER = r"^-?(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$"
 
 
@@ -72,6 +76,17 @@ def _short(decimal_text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(decimal_text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _small(value: Column) -> Column:
+    """Plain text of a double below ``_SMALL`` from its digits: zeros first, then all twelve but closing zeros."""
+
+    def form(text: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), "[-.]", ""), "0+$", "")
+        zeros = F.repeat(F.lit("0"), -F.substring_index(text, "e", -1).cast("int") - 1)
+        return F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.lit("0."), zeros, digits)
+
+    return let(F.format_string(f"%.{SIGNIFICANT_DIGITS - 1}e", value), form)
+
+
 def cell(col: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
     """Canonical text of a value: 1, 1.0 and DECIMAL 1.00 agree, NaN counts as null.
 
@@ -95,6 +110,7 @@ def cell(col: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
         return (
             F.when(F.isnan(value), F.lit(None).cast("string"))
             .when((value == 0) | (plain & (value == F.floor(value))), value.cast("bigint").cast("string"))
+            .when(plain & (F.abs(value) < F.lit(_SMALL)), _small(value))
             .when(plain, _short(value.cast("decimal(38,22)").cast("string")))
             .when(finite, _with_exponent(F.format_string(f"%.{SIGNIFICANT_DIGITS - 1}e", value)))
             .otherwise(value.cast("string"))

@@ -42,11 +42,11 @@ class SharedTable:
     schema: T.StructType
 
 
-def shared_tables(spark: SparkSession, paths: Iterable[str]) -> dict[str, SharedTable]:
+def shared_tables(spark: SparkSession, paths: Iterable[str], multi_line: bool = False) -> dict[str, SharedTable]:
     """The CSV files of all cases by path, each loaded and written down once."""
     found = {}
     for path in dict.fromkeys(paths):
-        name, table = load_table(spark, path)
+        name, table = load_table(spark, path, multi_line)
         found[path] = SharedTable(name, fresh_path(spark, name), table.schema)
         table.write.parquet(found[path].path)
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlassay.plans.fixtures import derived, expand, oracle, table
+from sqlassay.plans.fixtures import GIVEN, TABLES, derived, expand, oracle, table
 from sqlassay.session import fresh_path
 from sqlassay.sources import cases as cs
 from sqlassay.sources import results as rs
@@ -29,15 +29,13 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return loaded["customer_data"]
 
 
-#: Tables whose columns a CSV file can hold.
-_FLAT = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
-
-
 def s2(spark: SparkSession, d: str) -> DataFrame:
-    paths = {name: fresh_path(spark, f"{name}.csv") for name in _FLAT}
+    """All given tables; a vector has no CSV form, so that table's columns come from its own file."""
+    paths = {name: fresh_path(spark, f"{name}.csv") for name in TABLES if name != "embeddings"}
     for name, path in paths.items():
-        table(spark, d, name).write.csv(path, header=True)
-    return infer_catalog(load_tables(spark, list(paths.values())))
+        table(spark, d, name).write.csv(path, header=True, escape='"')
+    tables = load_tables(spark, list(paths.values()), multi_line=True)
+    return infer_catalog({**tables, "embeddings": table(spark, d, "embeddings")})
 
 
 def s3(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +80,7 @@ ORACLES = {
     "S1_load_tables": "SELECT CAST(c_custkey AS INT) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "S2_infer_catalog": """SELECT table_name, CAST(ordinal_position - 1 AS INT) AS ordinal, column_name,
         CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'INTEGER' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'REAL' ELSE 'TEXT' END AS type_class
-        FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{name}'" for name in _FLAT) + ")",
+        FROM information_schema.columns WHERE table_name IN (""" + GIVEN + ")",
     "S3_load_cases": f"""SELECT CAST(case_id AS VARCHAR) AS case_id, question, coalesce(query, '') AS query, data_csv_files, query_category,
         '' AS instructions, '' AS glossary, '' AS k_shot_prompt, '' AS prev_invalid_sql, '' AS prev_error_msg FROM ({_CASES}) c""",
     "S4_case_files": f"""WITH parts AS (SELECT case_id, list_filter(list_transform(string_split(data_csv_files, ','), lambda f: trim(f)), lambda f: f <> '') AS files

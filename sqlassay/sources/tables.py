@@ -22,17 +22,20 @@ def clean_name(name: str) -> str:
     return f"_{clean}" if clean[0].isdigit() else clean
 
 
-def load_table(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """A CSV file as (table name, table), both names and columns cleaned."""
+def load_table(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[str, DataFrame]:
+    """A CSV file as (table name, table), both names and columns cleaned; quotes inside values are doubled.
+
+    Values with line ends need ``multi_line``, which reads a file in one task; a folder of files is still read in parallel.
+    """
     name = clean_name(os.path.splitext(os.path.basename(path.rstrip("/")))[0])
-    raw = spark.read.csv(path, header=True, inferSchema=True, multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=True, multiLine=multi_line, escape='"')
     columns = [clean_name(c) for c in raw.columns]
     if len(set(columns)) < len(columns):
         raise ValueError(f"columns of {path} clean to the same name: {columns}")
     return name, raw.toDF(*columns)
 
 
-def load_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> dict[str, DataFrame]:
     """CSV files as tables and temp views named after the file.
 
     A missing or broken file is skipped with a warning. Two names that clean to the same
@@ -44,7 +47,7 @@ def load_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFram
         if name in tables:
             raise ValueError(f"{path} cleans to a table name already taken: {name}")
         try:
-            _, tables[name] = load_table(spark, path)
+            _, tables[name] = load_table(spark, path, multi_line)
         except PySparkException as error:
             log.warning("skipping %s: %s", path, error.getCondition())
             continue

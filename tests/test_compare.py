@@ -259,6 +259,21 @@ def test_form_of_a_cell_follows_its_value_alone(spark):
     assert got["j"] == got["k"] == "0" and got["l"] == "Infinity" and got["m"] == "123456789012345"
 
 
+def test_twelve_digits_at_every_size(spark):
+    from sqlassay.functions.cells import cell
+
+    sizes = [10.0**k for k in range(-20, 18)]
+    rows = [(k, 1.234567891 * x, 1.234567894 * x, 1.23456789123 * x, 1.234567891234 * x) for k, x in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double")
+    found = df.select("k", *[cell(F.col(c), df.schema[c].dataType).alias(c) for c in "abcd"], F.expr("format_string('%.11e', c)").alias("e")).collect()
+    for r in found:
+        assert r["a"] != r["b"] and r["c"] == r["d"], r
+        assert float(r["a"]) == pytest.approx(1.234567891 * sizes[r["k"]], rel=1e-11, abs=0)
+    decimal = spark.sql("SELECT 1.25e-14D AS a, -1.25e-14D AS b, 0.0000000000000125BD AS c, 1e-15D AS d, 0.000000000000001BD AS e")
+    got = decimal.select(*[cell(F.col(f.name), f.dataType).alias(f.name) for f in decimal.schema]).first()
+    assert got["a"] == got["c"] == "0.0000000000000125" and got["b"] == "-0.0000000000000125" and got["d"] == got["e"]
+
+
 def test_repeated_names(spark):
     df = spark.sql("SELECT 1 AS b, 2 AS a, 3 AS b")
     assert compare.dedup_names(df).columns == ["b_0", "a", "b_2"]

@@ -44,3 +44,16 @@ def test_entry_runs(spark):
     found = entry_module.entry(spark)
     assert found.columns == ["case_id", "exact_match", "correct", "error_db_exec"]
     assert found.count() > 0
+
+
+def test_core_queries_need_no_optional_package():
+    """Without the packages that only the training-data operators import, all other queries are there."""
+    import pathlib
+    import subprocess
+    import sys
+
+    hide = "import sys; [sys.modules.__setitem__(n, None) for n in ('xxhash', 'ahocorasick', 'sentencepiece', 'regex', 'corpus_pipeline')]; "
+    ask = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(n for n in e.queries() if n[0].isupper()), len(e.queries()))"
+    root = pathlib.Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", hide + ask], capture_output=True, text=True, cwd=root)
+    assert out.stdout.split() == ["True", str(len(NAMES))], out.stderr
