@@ -63,20 +63,24 @@ def json_score(text: Column) -> Column:
 
 #: Distances up to this are sought first; the band then doubles until it holds the distance.
 NARROWEST = 64
+#: Where the shorter text has so many characters at most, the whole table costs no more than bands.
+SHORT = 256
 
 
 def levenshtein_distance(output: Column, reference: Column) -> Column:
     """Edit distance, -1 for a null side; equal texts are not walked through.
 
     Sought in bands of 64, 128, 256, ... around the diagonal, so the cost follows the distance and not the square of the lengths.
+    Where one text is short, or far shorter than the other, the whole table is small.
     """
     longest, apart = F.greatest(F.length(output), F.length(reference)), F.abs(F.length(output) - F.length(reference))
+    shortest = longest - apart
     doublings = lambda size: F.greatest(F.ceil(F.log2(size / F.lit(NARROWEST))), F.lit(0)).cast("int")
     # The lengths' difference is the least the distance can be, the longer length the most.
     steps = F.sequence(doublings(F.greatest(apart, F.lit(1))), doublings(longest))
     in_band = lambda k: F.call_function("levenshtein", output, reference, F.call_function("shiftleft", F.lit(NARROWEST), k))
     banded = F.aggregate(steps, F.lit(-1), lambda found, k: F.when(found >= 0, found).otherwise(in_band(k)))
-    distance = F.when(output == reference, 0).when(longest <= NARROWEST, F.levenshtein(output, reference)).otherwise(banded)
+    distance = F.when(output == reference, 0).when((shortest <= SHORT) | (shortest <= 2 * apart), F.levenshtein(output, reference)).otherwise(banded)
     return F.coalesce(distance, F.lit(-1))
 
 

@@ -22,9 +22,12 @@ ORDERED, ARRANGED = -1, -2
 _NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?(e-?\d+)?$"
 
 
+_NULL = "\0null\0"
+
+
 def marked(row: Column) -> Column:
-    """Cells with nulls told from texts, for hashing."""
-    return F.transform(row, lambda v: F.coalesce(F.concat(F.lit("="), v), F.lit("-")))
+    """A row for hashing, in which a null is told from a text and from a null elsewhere."""
+    return F.struct(F.array_join(row, "\1", _NULL), row)
 
 
 def hashes(*values: Column) -> list[Column]:

@@ -222,7 +222,9 @@ def distance_by_hand(a, b):
     return row[-1]
 
 
-def test_distances_in_doubling_bands_are_exact(spark):
+@pytest.mark.parametrize("short", [8, tx.SHORT])
+def test_distances_in_doubling_bands_are_exact(spark, short, monkeypatch):
+    monkeypatch.setattr(tx, "SHORT", short)
     rng = random.Random(4)
     texts = []
     for size in (1, 63, 64, 65, 66, 130, 300):
