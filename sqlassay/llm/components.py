@@ -56,36 +56,50 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked_in_buckets(members: DataFrame, similar: Callable[[DataFrame], DataFrame], stars: int = 4, pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame:
+def linked_in_buckets(
+    members: DataFrame,
+    similar: Callable[[DataFrame], DataFrame],
+    stars: int = 4,
+    pairs_per_member: int = PAIRS_PER_MEMBER,
+    may: Callable[[Column, Column], Column] = lambda one, other: F.lit(True),
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Components of the graph that links similar members of a common bucket: (node, root).
 
-    ``members`` is a written table of (bucket, id), each once; ``similar`` keeps of a table of pairs (u, v)
-    those that are similar. While listing the pairs of a bucket would take more than
+    ``members`` is a written table of (bucket, id, other columns), each (bucket, id) once; ``similar`` keeps of a table of
+    pairs (u, v) those that are similar; ``may`` tells, of two members as structs of id and other columns, whether
+    they can be, and is asked within the join of a bucket. While listing the pairs of a bucket would take more than
     ``pairs_per_member`` comparisons per member, a bucket's members are compared with one of them
-    only, and what is linked by then needs no comparison any more. In the end the
-    members of *different* components that still share a bucket are compared pair by pair,
+    only, and what is linked by then needs no comparison any more; buckets whose members are all linked are left. After ``stars`` rounds the
+    members of *different* components that still share a bucket are put into the smaller buckets that ``finer`` names (of rows
+    with bucket, id, comp, this), where any two similar ones must meet again, and compared pair by pair,
     so no link between components is missed. Nodes without a link are left out.
     """
     found: DataFrame | None = None
+    left = members.select("bucket", "id", F.struct(*[c for c in members.columns if c != "bucket"]).alias("this"))
     for turn in range(stars + 1):
-        rest = members.withColumn("comp", F.col("id"))
+        rest = left.withColumn("comp", F.col("id"))
         if found is not None:
-            rest = landed(members.join(found, members["id"] == found["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("comp")), "members")
+            rest = landed(left.join(found, left["id"] == found["node"], "left").select("bucket", "id", "this", F.coalesce("root", "id").alias("comp")), "members")
         mixed = rest.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(_mixed("id", turn).alias("order"), "id", "comp")).alias("pivot")
+            F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(_mixed("id", turn).alias("order"), "this", "comp")).alias("pivot")
         )
-        mixed = landed(mixed.filter("low != high").select("bucket", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "mixed")
+        mixed = landed(mixed.filter("low != high").select("bucket", "n", F.col("pivot.this").alias("that"), F.col("pivot.comp").alias("pivot_comp")), "mixed")
         size = mixed.agg(F.sum("n").alias("members"), F.sum(F.expr("cast(n AS double) * (n - 1) / 2")).alias("pairs")).first()
         if not size["members"]:
             break
-        last = turn == stars or size["pairs"] <= pairs_per_member * size["members"]
-        open_rows = rest.join(mixed, "bucket")
+        few = size["pairs"] <= pairs_per_member * size["members"]
+        last = turn == stars or few
         if last:
-            open_rows = open_rows.select("bucket", "id", "comp")
-            other = open_rows.select("bucket", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = open_rows.join(other, "bucket").filter("comp < other_comp").select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
+            open_rows = rest.join(mixed.select("bucket"), "bucket")
+            if finer is not None and not few:
+                open_rows = landed(finer(open_rows), "finer")
+            other = open_rows.select("bucket", F.col("comp").alias("other_comp"), F.col("this").alias("that"))
+            pairs = open_rows.join(other, "bucket").filter(F.col("comp") < F.col("other_comp"))
         else:
-            pairs = open_rows.filter("comp != pivot_comp").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
+            pairs = rest.join(mixed, "bucket").filter("comp != pivot_comp")
+            left = rest.join(mixed.select("bucket"), "bucket").select("bucket", "id", "this")
+        pairs = pairs.filter(may(F.col("this"), F.col("that"))).select(F.least("this.id", "that.id").alias("u"), F.greatest("this.id", "that.id").alias("v"))
         links = landed(similar(pairs.distinct()), "links")
         if not links.isEmpty():
             # What is linked already is one edge per node from here on.

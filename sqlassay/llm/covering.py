@@ -54,9 +54,9 @@ def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([simhash(text) for text in texts], dtype="int64")
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """The tables' masks, as signed integers."""
-    vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
+def masks(radius: int, bits: int = 64, step: int = 1) -> list[int]:
+    """The tables' masks, as signed integers. Another ``step`` (odd, no multiple of the number of masks) deals the bits anew."""
+    vectors = [i * step % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
     tables = [sum(1 << i for i, v in enumerate(vectors) if (v & t).bit_count() & 1) for t in range(1, 1 << (radius + 1))]
     return [m - (1 << 64) if m >> 63 else m for m in tables]
 
@@ -75,8 +75,16 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     shared = shared.select(F.col("t").alias("_t"), F.bitwise_not("key").alias("_key"))  # see components.apart
     members = rows.join(shared, (rows["t"] == shared["_t"]) & (F.bitwise_not(rows["key"]) == shared["_key"]))
     members = landed(members.select(F.struct("t", "key").alias("bucket"), "id"), "members")
-    near = lambda pairs: pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    return linked_in_buckets(members, near)
+    near = lambda one, other: F.bit_count(one["id"].bitwiseXOR(other["id"])) <= radius
+    again = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("mask")) for t, m in enumerate(masks(radius, step=11))])
+
+    def finer(rows: DataFrame) -> DataFrame:
+        """Buckets of a second family, dealt otherwise: it covers every pair too and splits what agrees on a mask of the first."""
+        rows = rows.drop("bucket").distinct()
+        cut = rows.select(*rows.columns, F.inline(again))
+        return cut.select(F.struct("t", F.col("id").bitwiseAND(F.col("mask")).alias("key")).alias("bucket"), *rows.columns)
+
+    return linked_in_buckets(members, lambda pairs: pairs, may=near, finer=finer)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

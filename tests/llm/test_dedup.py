@@ -91,9 +91,67 @@ def test_links_in_buckets_miss_none(spark, per_member):
     assert {r["node"]: r["root"] for r in found.collect()} == {x: sets.find(x) for x in sets.up}
 
 
-def test_masks_cover_every_pair_within_the_radius():
+def test_crowded_buckets_are_split_without_losing_a_link(spark):
+    rng = random.Random(6)
+    members = sorted({(0, rng.randint(0, 2000)) for _ in range(400)})
+    sets = Sets()
+    for _, x in members:
+        for _, y in members:
+            if x < y <= x + 2:
+                sets.join(x, y)
+    seen = []
+
+    def finer(rows):
+        assert set(rows.columns) == {"bucket", "id", "comp", "this"}
+        seen.append(rows.count())
+        return rows.select(F.explode(F.array(F.expr("id div 8"), F.expr("(id + 4) div 8 + 10000"))).alias("bucket"), "id", "comp", "this")
+
+    df = spark.createDataFrame([(b, x, x) for b, x in members], "bucket int, id long, place long")
+    near = lambda one, other: F.abs(one["place"] - other["place"]) <= 2
+    found = components.linked_in_buckets(df, lambda pairs: pairs, stars=1, pairs_per_member=1, may=near, finer=finer)
+    assert seen and {r["node"]: r["root"] for r in found.collect()} == {x: sets.find(x) for x in sets.up}
+
+
+def test_rare_shingles_bring_all_similar_lines_together(spark, prose):
+    passage = prose(60, 3)
+    rng = random.Random(8)
+    lines = [f"{passage} {prose(rng.choice([5, 12, 15, 60]), k % 40)}" for k in range(120)] + [prose(3, k) for k in range(5)] + ["abc", "abcd"]
+    lines = sorted(set(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    rows = df.select(F.lit(1).alias("bucket"), "id", F.col("id").alias("comp"), F.struct("id").alias("this"))
+    held = {}
+    for r in fuzzy_lines.by_rare_shingles(rows, df).collect():
+        held.setdefault(r["id"], set()).add(r["bucket"])
+    of = [shingles(line) for line in lines]
+    similar = apart = 0
+    for i, a in enumerate(of):
+        for j in range(i):
+            if len(a & of[j]) >= 0.8 * len(a | of[j]):
+                similar += 1
+                assert held[i] & held[j]
+            else:
+                apart += not held[i] & held[j]
+    assert similar > 20 and apart > 2000
+
+
+def test_outlines_rule_out_no_similar_lines(spark, prose):
+    rng = random.Random(14)
+    pairs = [alike(prose, rng, size, 0.8, 0.82) for size in (20, 60, 300, 3000) for _ in range(40)]
+    pairs += [(prose(60, 2 * k), prose(60, 2 * k + 1)) for k in range(40)] + [("a", "a"), ("abcdefgh", "abcdefgh")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fuzzy_lines.outline("a").alias("x"), fuzzy_lines.outline("b").alias("y"))
+    as_struct = lambda c: F.struct(F.col(c)[0].alias("n"), *[F.col(c)[k + 1].alias(f"w{k}") for k in range(fuzzy_lines.PARITY_WORDS)])
+    got = df.select("a", "b", F.col("x")[0].alias("n"), fuzzy_lines.may_be_similar(as_struct("x"), as_struct("y")).alias("may")).collect()
+    for r in got:
+        a, b = shingles(r["a"]), shingles(r["b"])
+        assert r["n"] == len(a)
+        assert r["may"] or len(a & b) < 0.8 * len(a | b)
+    assert not any(r["may"] for r in got[160:200])
+
+
+@pytest.mark.parametrize("step", [1, 11])
+def test_masks_cover_every_pair_within_the_radius(step):
     rng = random.Random(1)
-    tables = covering.masks(4)
+    tables = covering.masks(4, step=step)
     assert len(tables) == 31
     for _ in range(500):
         a = rng.getrandbits(64)
