@@ -1,42 +1,105 @@
 """SentencePiece encoding and decoding as a weighted transducer.
 
-Three machines are compiled from a vocabulary: the normaliser (leading blank, blanks as the
-piece alphabet's mark), the pieces (a trie of their texts) and the byte fallback (a character
-without a piece becomes its UTF-8 bytes). Composing them with an input gives a lattice of
-pieces over positions; the encoding is its shortest path in the tropical semiring.
+Three machines are compiled from a model: the normaliser (leading blank, blanks as the piece
+alphabet's mark, the model's rules for characters), the pieces (an automaton of their texts) and the
+byte fallback (a character without a piece becomes its UTF-8 bytes). Composing them with an input gives a
+lattice of pieces over positions; the encoding is its shortest path in the tropical semiring.
 
 * Unigram vocabularies weigh an arc by minus its score.
 * Merge vocabularies (BPE) have no additive scores. A sequence of pieces is what the merges
-  produce exactly when each two neighbours are, so a state also remembers its last piece and
-  an arc weighs 0 if the merges leave the two apart and infinity if they would not. One
-  finite path is left, and it is the encoding.
+  produce exactly when each two neighbours are, so the weight of an arc depends on the piece
+  before it: 0 if the merges leave the two apart and infinity if they would not. One finite path
+  is left, and it is the encoding. As this holds for every beginning of an input too, at most
+  one state (position, last piece) of a position is at a finite distance, and one distance per
+  position is enough for both kinds of weights.
 
-No piece of the vocabularies in use holds a blank mark after another character (checked when
-compiled), so inputs are composed in chunks that start at blanks, and chunks met before are
-looked up. Memory is bounded by the longest chunk; time is linear in it.
+Whether two pieces are left apart is read off the two pieces' own merges: as long as merges come in
+order of rank, each facing part lives until its own merge, and two facing parts merge if their common piece
+ranks before both. Pieces whose merges do not come in that order are merged anew with their neighbour.
+
+Where no piece reaches across a cut (checked when compiled), inputs are composed in chunks: letters, or other
+characters, with the blanks before them. Chunks met lately are looked up. The tables of what was met hold a fixed number of
+entries; other memory is bounded by the longest chunk and the ids of the text, and time is linear.
 
 Defined cases: null stays null; an empty text has no pieces; a text of any length is encoded
 whole; a literal U+2581 is the blank mark and decodes as a blank; an unpaired surrogate cannot
 occur in a Spark string; repeated rows repeat; an empty table gives an empty result; other
-columns are passed on by ``encode``, and a column of the result's name is replaced.
+columns are passed on, and a column of a result's name is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from operator import itemgetter
 
+import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
-_CACHE = 400_000
+#: Where inputs may be cut, the finest first: at blanks and between letters and other characters, or at blanks only.
+_LETTER, _OTHER = r"[^\W\d_²³¹]", rf"(?:(?!{MARK})[\W\d_²³¹])"
+_CHUNKS = [re.compile(f"{MARK}*(?:{_LETTER}+|{_OTHER}+)|{MARK}+"), re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")]
+#: Characters cut at a time, and the length from which a chunk is not remembered.
+_TOGETHER, _LONG = 1 << 16, 64
+#: Entries of a table of what was met lately: half of them are the latest ones.
+_MET, _PAIRS = 400_000, 400_000
+#: Arcs are numbered by the piece's id, those of the byte fallback by the character from here on; START is before the first arc.
+_FALLBACK, _BITS = 1 << 20, 22
+_START = (1 << _BITS) - 1
+_NEVER = float("inf")
+
+
+class _Recent(dict):
+    """A function's values for the arguments met lately, at most ``size`` of them."""
+
+    def __init__(self, compute: Callable, size: int, remembers: Callable = lambda key: True):
+        super().__init__()
+        self.compute, self.half, self.remembers, self.before = compute, size // 2, remembers, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        if self.remembers(key):
+            if len(self) >= self.half:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+@dataclass(frozen=True)
+class Normaliser:
+    """What is done to a text before pieces are sought."""
+
+    leading_blank: bool = True
+    one_blank: bool = False  # runs of blanks are one, none at the ends
+    rules: dict[int, str] = field(default_factory=dict)
+
+    @staticmethod
+    def read(model) -> Normaliser:
+        """From how the model itself normalises: every character of the first three planes, blanks, and the beginning."""
+        leading = model.normalize("a").startswith(MARK)
+        plain = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and c != 0x20]
+        bare = lambda text: model.normalize(f"a{text}a")[leading + 1 : -1]
+        joined = "a".join(plain)
+        rules = {} if bare(joined) == joined else {ord(c): bare(c) for c in plain if bare(c) != c}
+        return Normaliser(leading, bare("  ") == bare(" "), rules)
+
+    def __call__(self, text: str) -> str:
+        if self.rules:
+            text = text.translate(self.rules)
+        if self.one_blank:
+            text = re.sub(" +", " ", text).strip(" ")
+        return (MARK if self.leading_blank else "") + text.replace(" ", MARK) if text else ""
 
 
 @dataclass(frozen=True)
@@ -47,7 +110,7 @@ class Vocabulary:
     bytes_: tuple[int, ...]
     merges: bool
     texts: tuple[bytes, ...]  # of each id, for decoding
-    leading_blank: bool = True
+    normaliser: Normaliser = Normaliser()
 
     @staticmethod
     def read(path: str, merges: bool = True) -> Vocabulary:
@@ -59,7 +122,7 @@ class Vocabulary:
         of_byte = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         texts = [b"" if special(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).encode() for i in ids]
         pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in ids if not special(i) and not model.is_byte(i)}
-        return Vocabulary(pieces, tuple(of_byte[b] for b in range(256)), merges, tuple(texts))
+        return Vocabulary(pieces, tuple(of_byte[b] for b in range(256)), merges, tuple(texts), Normaliser.read(model))
 
 
 class Transducer:
@@ -68,132 +131,144 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pieces = vocabulary.pieces
-        self.prefixes = {text[:n] for text in self.pieces for n in range(1, len(text) + 1)}
-        self.whole = any(MARK in text.lstrip(MARK) for text in self.pieces)  # then inputs cannot be cut
-        self.trie = {prefix: prefix in self.pieces for prefix in self.prefixes}
+        self.text_of_id = {i: text for text, (i, _) in self.pieces.items()}
+        if any(score > 0 for _, score in self.pieces.values()) or max(self.text_of_id, default=0) >= _FALLBACK:
+            raise ValueError("scores must not be positive, and ids must be below 2^20")
+        self.single = {text for text in self.pieces if len(text) == 1}
+        # None if some piece reaches across every kind of cut.
+        self.cut = next((cut for cut in _CHUNKS if all(cut.fullmatch(text) for text in self.pieces)), None)
+        self.automaton = ahocorasick.Automaton()
+        for text, (i, _) in self.pieces.items():
+            self.automaton.add_word(text, (i, len(text)))
+        self.automaton.make_automaton()
         self.unknown = 10.0 - min((score for _, score in self.pieces.values()), default=0.0)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.apart_cache: dict[tuple[str, str], bool] = {}
-
-    def normal(self, text: str) -> str:
-        return (MARK if self.vocabulary.leading_blank else "") + text.replace(" ", MARK) if text else ""
-
-    def encode(self, text: str) -> array:
-        found = array("i")
-        normal = self.normal(text)
-        for chunk in [normal] if self.whole else _CHUNK.findall(normal):
-            ids = self.cache.get(chunk)
-            if ids is None:
-                if len(self.cache) > _CACHE:
-                    self.cache.clear()
-                ids = tuple(self._ids(self.merged_path(chunk) if self.vocabulary.merges else self.cheapest_path(chunk)))
-                if len(chunk) < 64:
-                    self.cache[chunk] = ids
-            found.extend(ids)
-        return found
-
-    def _ids(self, path: list[str]) -> Iterator[int]:
-        for symbol in path:
-            if symbol in self.pieces:
-                yield self.pieces[symbol][0]
-            else:
-                yield from (self.vocabulary.bytes_[b] for b in symbol.encode("utf-8", "surrogatepass"))
-
-    def arcs(self, chunk: str, at: int) -> Iterator[str]:
-        """The composition's arcs at a position: pieces that start there, and the fallback where no piece is one character."""
-        end = at + 1
-        if chunk[at:end] not in self.pieces:
-            yield chunk[at:end]
-        while end <= len(chunk) and (text := chunk[at:end]) in self.prefixes:
-            if text in self.pieces:
-                yield text
-            end += 1
-
-    def cheapest_path(self, chunk: str) -> list[str]:
-        """Tropical shortest path by scores; of equal paths the one with the longer last arc."""
-        best: list[tuple[float, str]] = [(0.0, "")] + [(float("inf"), "")] * len(chunk)
-        for at in range(len(chunk)):
-            for arc in self.arcs(chunk, at):
-                cost = best[at][0] + (-self.pieces[arc][1] if arc in self.pieces else self.unknown)
-                if cost < best[at + len(arc)][0]:
-                    best[at + len(arc)] = (cost, arc)
-        return _back(chunk, lambda at: best[at][1])
-
-    def merged_path(self, chunk: str) -> list[str]:
-        """The one path of finite weight, sought depth first with the longest arcs first.
-
-        A state is (position, last piece); one from which the end cannot be reached is not entered again.
-        """
-        end, trie, known, dead = len(chunk), self.trie, self.apart_cache, set()
-        taken: list[tuple[int, str, list[int]]] = []
-
-        def sizes(at: int) -> list[int]:
-            """Lengths of the arcs at a position, the longest last."""
-            found = [1]
-            to = at + 1
-            is_piece = trie.get(chunk[at:to])
-            while is_piece is not None and to < end:
-                to += 1
-                is_piece = trie.get(chunk[at:to])
-                if is_piece:
-                    found.append(to - at)
+        self.faces: dict[int, tuple[list, list, bool] | None] = {}  # an entry per piece at most
+        self.weights = _Recent(self.weight, _PAIRS)
+        self.ids = _Recent(lambda chunk: self.ids_of(self.shortest_path(chunk)), _MET, lambda chunk: len(chunk) < _LONG)
+
+    def encode(self, text: str) -> np.ndarray:
+        normal = self.vocabulary.normaliser(text)
+        found = [b"".join(map(self.ids.__getitem__, chunks)) for chunks in self.chunks(normal)]
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def chunks(self, normal: str) -> Iterator[list[str]]:
+        """A normal text cut into chunks, some at a time."""
+        if self.cut is None:
+            yield [normal]
+            return
+        at = 0
+        while at < len(normal):
+            found = self.cut.findall(normal, at, at + _TOGETHER)
+            at += _TOGETHER
+            if at < len(normal):
+                at -= len(found.pop())  # it may go on
+                if not found:
+                    found = [self.cut.match(normal, at)[0]]
+                    at += len(found[0])
+            yield found
+
+    def ids_of(self, arcs: list[int]) -> bytes:
+        """The ids of a path's arcs as 32-bit integers."""
+        if max(arcs, default=0) >= _FALLBACK:
+            arcs = [i for arc in arcs for i in ([arc] if arc < _FALLBACK else [self.vocabulary.bytes_[b] for b in self.text_of(arc).encode("utf-8", "surrogatepass")])]
+        return array("i", arcs).tobytes()
+
+    def text_of(self, arc: int) -> str:
+        return self.text_of_id[arc] if arc < _FALLBACK else chr(arc - _FALLBACK)
+
+    def arcs(self, chunk: str) -> Iterable[tuple[int, tuple[int, int]]]:
+        """The composition's arcs by their last position: pieces, and the fallback where no piece is one character."""
+        found = self.automaton.iter(chunk) if self.pieces else iter(())
+        if self.single.issuperset(chunk):
             return found
-
-        at, last, open_sizes = 0, "", sizes(0)
-        while at < end:
-            while open_sizes:
-                size = open_sizes.pop()
-                arc = chunk[at : at + size]
-                if dead and (at + size, arc) in dead:
-                    continue
-                left_apart = known.get((last, arc))
-                if left_apart or (left_apart is None and self.apart(last, arc)):
-                    taken.append((at, last, open_sizes))
-                    at += size
-                    last = arc
-                    open_sizes = sizes(at) if at < end else []
-                    break
+        fallback = [(k, (_FALLBACK + ord(c), 1)) for k, c in enumerate(chunk) if c not in self.single]
+        return sorted([*found, *fallback], key=itemgetter(0))
+
+    def shortest_path(self, chunk: str) -> list[int]:
+        """The arcs of the path of least weight; no weight is negative, so only a shorter distance is worth an arc."""
+        distance = [0.0] + [_NEVER] * len(chunk)
+        last, sizes = [_START << _BITS] * (len(chunk) + 1), [0] * (len(chunk) + 1)
+        weights = self.weights
+        for end, (arc, size) in self.arcs(chunk):
+            start = end + 1 - size
+            best = distance[end + 1]
+            if distance[start] < best and (reached := distance[start] + weights[last[start] | arc]) < best:
+                end += 1
+                distance[end], last[end], sizes[end] = reached, arc << _BITS, size
+        if distance[-1] == _NEVER:
+            raise ValueError(f"no path through {chunk[:40]!r}")
+        path, at = [], len(chunk)
+        while at:
+            path.append(last[at] >> _BITS)
+            at -= sizes[at]
+        return path[::-1]
+
+    def weight(self, pair: int) -> float:
+        """The weight of an arc after another one."""
+        left, arc = pair >> _BITS, pair & _START
+        if self.vocabulary.merges:
+            return 0.0 if self.apart(left, arc) else _NEVER
+        return -self.pieces[self.text_of_id[arc]][1] if arc < _FALLBACK else self.unknown
+
+    def _faces(self, arc: int) -> tuple[list, list, bool] | None:
+        """What stands at a piece's two ends while it is merged, with the rank of the merge that ends it.
+
+        And whether its merges come in order of rank. None if the merges of its text do not end in the piece.
+        """
+        if arc not in self.faces:
+            text = self.text_of(arc)
+            parts = [(symbol, [], []) for symbol in text]
+            ranks = []
+            while found := self._next_merge([part[0] for part in parts]):
+                rank, k = found
+                (a, lefts, _), (b, _, rights) = parts[k], parts[k + 1]
+                parts[k : k + 2] = [(a + b, [*lefts, (a, rank)], [*rights, (b, rank)])]
+                ranks.append(rank)
+            only = parts[0] if len(parts) == 1 else None
+            self.faces[arc] = only and ([*only[1], (text, _NEVER)], [*only[2], (text, _NEVER)], ranks == sorted(ranks))
+        return self.faces[arc]
+
+    def apart(self, left: int, right: int) -> bool:
+        """Do the merges leave these two arcs as neighbours?"""
+        after = self._faces(right)
+        if left == _START or after is None:
+            return after is not None
+        before = self._faces(left)
+        if before is None:
+            return False
+        if not (before[2] and after[2]):
+            texts = [self.text_of(left), self.text_of(right)]
+            return self.merge("".join(texts)) == texts
+        rights, lefts, i, j = before[1], after[0], 0, 0
+        while True:
+            (a, a_ends), (b, b_ends) = rights[i], lefts[j]
+            joined = self.pieces.get(a + b)
+            # Of merges of equal rank the leftmost comes first.
+            if joined and -joined[1] < a_ends and -joined[1] <= b_ends:
+                return False
+            if a_ends == b_ends == _NEVER:
+                return True
+            if a_ends <= b_ends:
+                i += 1
             else:
-                dead.add((at, last))
-                if not taken:
-                    raise ValueError(f"no path through {chunk[:40]!r}")
-                at, last, open_sizes = taken.pop()
-        starts = [start for start, _, _ in taken]
-        return [chunk[a:b] for a, b in zip(starts, [*starts[1:], end])]
-
-    def apart(self, left: str, right: str) -> bool:
-        """Do the merges leave these two pieces as neighbours?"""
-        key = (left, right)
-        known = self.apart_cache.get(key)
-        if known is None:
-            if len(self.apart_cache) > 4 * _CACHE:
-                self.apart_cache.clear()
-            known = self.apart_cache[key] = self.merge(left + right) == [part for part in key if part]
-        return known
+                j += 1
+
+    def _next_merge(self, symbols: list[str]) -> tuple[float, int] | None:
+        """Rank and place of the next merge: the best pair, of equal ones the leftmost."""
+        return min(((-self.pieces[a + b][1], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.pieces), default=None)
 
     def merge(self, text: str) -> list[str]:
-        """The merges on a text of two pieces at most: the best pair, of equal ones the leftmost, until none is a piece."""
+        """The merges on a text of two pieces at most, until no pair is a piece."""
         symbols = list(text)
-        while True:
-            pairs = [(-self.pieces[a + b][1], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.pieces]
-            if not pairs:
-                return symbols
-            _, k = min(pairs)
+        while found := self._next_merge(symbols):
+            k = found[1]
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        return symbols
 
     def decode(self, ids) -> str:
         texts = self.vocabulary.texts
         text = b"".join([texts[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.vocabulary.leading_blank and text.startswith(" ") else text
-
-
-def _back(chunk: str, arc_to) -> list[str]:
-    path, at = [], len(chunk)
-    while at:
-        arc = arc_to(at)
-        path.append(arc)
-        at -= len(arc)
-    return path[::-1]
+        return text[1:] if self.vocabulary.normaliser.leading_blank and text.startswith(" ") else text
 
 
 _COMPILED: dict[str, Transducer] = {}
@@ -225,6 +300,19 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "piece_ids", text: st
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = compiled(model)
         for each in batches:
-            yield pd.Series([None if i is None else machine.decode(i) for i in each], dtype=object)
+            yield pd.Series([None if i is None else machine.decode(i.tolist()) for i in each], dtype=object)
 
     return rows.withColumn(text, decoded(F.col(ids)))
+
+
+def both_ways(text: Column, model: str = MODEL) -> Column:
+    """A struct of a text's piece ids and of the text they decode to, in one pass and by one transducer a worker."""
+
+    @F.pandas_udf(StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        machine = compiled(model)
+        for texts in batches:
+            ids = [None if t is None else machine.encode(t) for t in texts]
+            yield pd.DataFrame({"piece_ids": pd.Series(ids, dtype=object), "decoded": pd.Series([None if i is None else machine.decode(i.tolist()) for i in ids], dtype=object)})
+
+    return coded(text)

@@ -33,7 +33,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text")))
+    rows = _documents(spark, sf_dir).select("doc_id", "text", pieces.both_ways(F.col("text")).alias("coded")).select("doc_id", "text", "coded.*")
     return rows.select("doc_id", F.size("piece_ids").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_digest"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -149,7 +149,47 @@ def test_scores_take_the_cheapest_path():
             word = "".join(letters)
             cuts = ([word[a:b] for a, b in zip((0, *at), (*at, size))] for at in (tuple(k for k in range(1, size) if mask >> k & 1) for mask in range(0, 1 << size, 2)))
             best = min(cost(cut) for cut in cuts if all(p in texts or p == "c" for p in cut))
-            assert cost(machine.cheapest_path(word)) == pytest.approx(best)
+            assert cost([machine.text_of(arc) for arc in machine.shortest_path(word)]) == pytest.approx(best)
+
+
+def test_pieces_left_apart_as_the_merges_say():
+    """Facing parts tell the same as merging two pieces anew, also where merges come out of order of rank."""
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = {"a", "b", "c"}
+        while len(texts) < 20:
+            texts.add(rng.choice(sorted(texts)) + rng.choice(sorted(texts)))
+        order = rng.sample(sorted(texts), len(texts))
+        vocabulary = pieces.Vocabulary({t: (k, -float(k)) for k, t in enumerate(order)}, tuple(range(256)), True, ())
+        machine = pieces.Transducer(vocabulary)
+        for left, right in product(range(len(order)), repeat=2):
+            pair = [order[left], order[right]]
+            assert machine.apart(left, right) == (machine.merge("".join(pair)) == pair), (order, pair)
+
+
+def test_pieces_of_long_texts_and_rules(monkeypatch, spark, nothing):
+    model, machine = library(), pieces.compiled(pieces.MODEL)
+    rng = random.Random(5)
+    long = "".join(rng.choice(["the ", "  ", "\n", "aé", "12", "m² ", "한", ", "]) for _ in range(3000)) + "x" * 500
+    for window in (1, 7, 64, 1 << 16):
+        monkeypatch.setattr(pieces, "_TOGETHER", window)
+        assert machine.encode(long).tolist() == model.encode(long)
+    monkeypatch.setattr(machine, "cut", None)
+    machine.ids.clear()
+    assert machine.encode(long).tolist() == model.encode(long)
+    assert pieces.Normaliser.read(model) == pieces.Normaliser(True, False, {})
+    assert pieces.Normaliser(True, True, {ord("ﬁ"): "fi"})("  a  ﬁn ") == "▁a▁fin"
+
+
+def test_pieces_of_awkward_tables(spark, nothing):
+    empty = nothing.select("doc_id", "text", pieces.both_ways(F.col("text")).alias("coded")).select("doc_id", "coded.*")
+    assert empty.collect() == [] and pieces.decode(pieces.encode(nothing)).collect() == []
+    docs = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, None, 6), (2, "", 7)], "doc_id long, text string, piece_ids int")
+    rows = pieces.decode(pieces.encode(docs)).select("doc_id", "piece_ids", "decoded").collect()
+    ids = library().encode("a b")
+    assert sorted(map(str, rows)) == sorted(map(str, [*rows[:0], *[type(rows[0])(doc_id=d, piece_ids=i, decoded=t) for d, i, t in [(1, ids, "a b"), (1, ids, "a b"), (None, None, None), (2, [], "")]]]))
+    coded = docs.select("doc_id", pieces.both_ways(F.col("text")).alias("c")).select("doc_id", "c.*").collect()
+    assert sorted(map(str, coded)) == sorted(map(str, rows))
 
 
 # ---- licenses
