@@ -49,8 +49,10 @@ _LETTER, _OTHER = r"[^\W\d_²³¹]", rf"(?:(?!{MARK})[\W\d_²³¹])"
 _CHUNKS = [re.compile(f"{MARK}*(?:{_LETTER}+|{_OTHER}+)|{MARK}+"), re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")]
 #: Characters cut at a time, and the length from which a chunk is not remembered.
 _TOGETHER, _LONG = 1 << 16, 64
+#: Rows whose ids are held at a time.
+_ROWS = 256
 #: Entries of a table of what was met lately: half of them are the latest ones.
-_MET, _PAIRS = 400_000, 400_000
+_MET, _PAIRS = 200_000, 200_000
 #: Arcs are numbered by the piece's id, those of the byte fallback by the character from here on; START is before the first arc.
 _FALLBACK, _BITS = 1 << 20, 22
 _START = (1 << _BITS) - 1
@@ -287,7 +289,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
     @F.pandas_udf(ArrayType(IntegerType()))
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = compiled(model)
-        for texts in batches:
+        for texts in (batch[k : k + _ROWS] for batch in batches for k in range(0, max(len(batch), 1), _ROWS)):
             yield pd.Series([None if t is None else machine.encode(t) for t in texts], dtype=object)
 
     return docs.withColumn(ids, encoded(F.col(text)))
@@ -311,7 +313,7 @@ def both_ways(text: Column, model: str = MODEL) -> Column:
     @F.pandas_udf(StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = compiled(model)
-        for texts in batches:
+        for texts in (batch[k : k + _ROWS] for batch in batches for k in range(0, max(len(batch), 1), _ROWS)):
             ids = [None if t is None else machine.encode(t) for t in texts]
             yield pd.DataFrame({"piece_ids": pd.Series(ids, dtype=object), "decoded": pd.Series([None if i is None else machine.decode(i.tolist()) for i in ids], dtype=object)})
 
