@@ -200,16 +200,19 @@ def score_row(name: str | Column, score: Column, reason: Column, metadata: Colum
 
 def apply_model(
     requests: DataFrame,
-    make_model: Callable[[], Callable[[str], str]],
+    make_model: Callable[[], Callable[[str], str] | Callable[[list[str]], list[str]]],
     prompt: str = "prompt",
     tries: int = 3,
     delay: float = 1.0,
     workers: int | None = None,
+    together: int | None = None,
 ) -> DataFrame:
     """Call a model per request with retries; what still fails becomes an error row.
 
     ``make_model`` runs once per task, so a client or a loaded model is shared by all its
     rows. ``workers`` bounds how many calls run at once. A blank answer counts as a failure.
+    With ``together`` the model takes a list of at most so many prompts and returns a list of as many answers
+    (None for one that failed); only prompts without an answer are asked again. The latency is then the whole call's.
     """
     added = [
         T.StructField("response", T.StringType()),
@@ -231,10 +234,38 @@ def apply_model(
                 time.sleep(delay * 2**attempt)
         raise AssertionError("tries must be at least 1")
 
+    def ask_together(model: Callable[[list[str]], list[str]], texts: list[str]) -> list[tuple[str, float, str | None]]:
+        answers: list[tuple[str, float, str | None]] = [("", 0.0, None)] * len(texts)
+        left = list(range(len(texts)))
+        for attempt in range(tries):
+            start = time.monotonic()
+            try:
+                given = list(model([texts[k] for k in left]))
+                if len(given) != len(left):
+                    raise ValueError(f"the model returned {len(given)} answers for {len(left)} prompts")
+                why = "the model returned nothing"
+            except Exception as error:  # noqa: BLE001 - any failure of the caller's function is a result
+                given, why = [None] * len(left), str(error)
+            seconds = round(time.monotonic() - start, 3)
+            for k, answer in zip(left, given):
+                done = isinstance(answer, str) and answer.strip()
+                answers[k] = (answer, seconds, None) if done else ("", 0.0, f"Generation failed after {tries} attempts: {why}")
+            left = [k for k in left if answers[k][2] is not None]
+            if not left:
+                break
+            if attempt + 1 < tries:
+                time.sleep(delay * 2**attempt)
+        return answers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
         for batch in batches:
-            answers = zip(*[ask(model, text) for text in batch[prompt].to_pylist()])
+            texts = batch[prompt].to_pylist()
+            if together:
+                rows = [row for k in range(0, len(texts), together) for row in ask_together(model, texts[k : k + together])]
+            else:
+                rows = [ask(model, text) for text in texts]
+            answers = zip(*rows)
             types = [pa.string(), pa.float64(), pa.string()]
             new = [pa.array(list(values), kind) for values, kind in zip(answers, types)]
             if new:

@@ -277,3 +277,30 @@ def test_medians_of_groups_at_any_scale(spark, name, few, monkeypatch):
 def test_no_scores_no_median(spark):
     df = spark.createDataFrame([(1, None)], "g int, score double")
     assert summary.exact_median(df, ["g"]).collect() == []
+
+
+def test_model_for_several_prompts_at_once(spark):
+    from sqlassay.operators.judge import apply_model
+
+    def make():
+        asked = {}
+
+        def model(prompts):
+            assert len(prompts) <= 3
+            for p in prompts:
+                asked[p] = asked.get(p, 0) + 1
+            if "broken" in prompts and len(prompts) > 1:
+                raise RuntimeError("no answer")
+            return [None if p == "broken" or (p == "late" and asked[p] < 2) else f"{p} {asked[p]}" for p in prompts]
+
+        return model
+
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "late", "b", "c", "c", "d"])], "id int, prompt string").coalesce(1)
+    got = {r["id"]: (r["response"], r["error_msg"]) for r in apply_model(rows, make, delay=0.0, together=3).collect()}
+    assert got[1] == ("late 2", None) and got[0] == ("a 1", None) and got[2] == ("b 1", None) and all(e is None for _, e in got.values())
+    rows = spark.createDataFrame([(0, "broken")], "id int, prompt string")
+    got = apply_model(rows, make, delay=0.0, together=3).first()
+    assert (got["response"], got["error_msg"]) == ("", "Generation failed after 3 attempts: the model returned nothing")
+    short = apply_model(rows, lambda: lambda prompts: [], tries=1, together=3).first()
+    assert short["error_msg"] == "Generation failed after 1 attempts: the model returned 0 answers for 1 prompts"
+    assert apply_model(rows.limit(0), make, together=3).collect() == []
