@@ -31,7 +31,7 @@ from sqlassay.functions.rows import let
 from sqlassay.session import landed
 
 #: Fixed value: how a mail program announces a quote.
-ANNOUNCES = r"(?i)^.{0,200}\bwrote:\s*$"
+ANNOUNCES = r"(?i)\bwrote:\s*$"
 #: Fixed value: so many words in a row tell a passage's source.
 WINDOW = 5
 _SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？])"

@@ -340,6 +340,13 @@ def talk(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], MESSAGES)
 
 
+def test_announcing_lines_of_any_length_are_taken_out(spark):
+    long = "On Monday " + "the one and only " * 40 + "Bob wrote:"
+    rows = [(1, 0, "user", "How is the new plan going?"), (1, 1, "user", f"{long}\n> How is the new plan going?\nWell."), (1, 2, "user", f"{long}\nno quote follows")]
+    own = {r["turn"]: (r["own_text"], r["parent_turn"]) for r in quotes.conversations(talk(spark, rows)).collect()}
+    assert own[1] == ("Well.", 0) and own[2] == (f"{long}\nno quote follows", None)
+
+
 def test_quotes_are_linked_and_taken_out(spark):
     rows = [
         (1, 0, "user", "Hello there, how are you?\nSecond line here."),
