@@ -328,3 +328,36 @@ def test_sieve_loses_none(spark):
     keys = rows.filter("k % 7 = 0")
     got = {r["k"] for r in fuzzy_lines.sieve(rows, keys, "k").collect()}
     assert {k for k in range(0, 5000, 7)} <= got and len(got) < 800
+
+
+def test_open_buckets_are_listed_after_the_first_round(spark):
+    """One round of stars, then all pairs that ``may`` leaves: no further rounds, no smaller buckets."""
+    rng = random.Random(15)
+    members = sorted({(rng.randint(0, 3), rng.randint(0, 900)) for _ in range(300)})
+    sets = Sets()
+    for b, x in members:
+        for c, y in members:
+            if b == c and x < y <= x + 2:
+                sets.join(x, y)
+    asked = []
+
+    def similar(pairs):
+        asked.append(pairs.count())
+        return pairs
+
+    def finer(rows):
+        raise AssertionError("nothing is left to split")
+
+    df = spark.createDataFrame([(b, x, x) for b, x in members], "bucket int, id long, place long")
+    near = lambda one, other: F.abs(one["place"] - other["place"]) <= 2
+    found = components.linked_in_buckets(df, similar, pairs_per_member=1, listed=200, may=near, finer=finer)
+    assert len(asked) == 2 and sum(asked) <= len(members)
+    assert {r["node"]: r["root"] for r in found.collect()} == {x: sets.find(x) for x in sets.up}
+
+
+def test_lines_are_signed_and_compared_without_python(spark):
+    df = spark.createDataFrame([(1, "one line", "another line")], "id long, a string, b string")
+    each = df.select("id", fuzzy_lines.signature(F.col("a")), fuzzy_lines.outline("a"), fuzzy_lines.jaccard(F.col("a"), F.col("b")))
+    rare = fuzzy_lines.by_rare_shingles(df.select(F.lit(1).alias("bucket"), "id"), df.select("id", F.col("a").alias("line")))
+    for made in (each, rare):
+        assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().executedPlan().toString())
