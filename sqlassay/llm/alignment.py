@@ -11,7 +11,7 @@ counts are then looked up per document: pairs held by so many documents that at
 are held by more come as one sorted array, of bounded size, to every task; all other pairs, none of which is frequent,
 meet their counts in a join. No pair is left out either way.
 
-Memory: portions of ``PORTION`` bytes of text, or one longer document; partial counts of ``HELD`` pairs.
+Memory: portions of ``PORTION`` bytes of text, or one longer document; partial counts of ``HELD`` pairs; words met before.
 
 Defined cases: a null or empty text, and one that either vocabulary does not give back byte by byte,
 has no tokens and counts nowhere; a text of any length is aligned whole; special tokens' strings are plain text; each row is a
@@ -21,6 +21,8 @@ document of its own, also where rows repeat; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -33,13 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from sqlassay.llm import merge_automaton
+from sqlassay.llm.pieces import Normaliser
 from sqlassay.session import landed
 
 BYTES_MODEL, PIECES_MODEL = merge_automaton.MODEL, "/opt/tokenizers/piece_bpe_32k.model"
 PORTION, HELD, FREQUENT = 1 << 20, 1 << 20, 1 << 20
 MARK = "▁"
-#: Characters of a text that go to the piece tokenizer at a time; a cut is made at single blanks only.
+#: Characters of a text that go to the piece tokenizer at a time, where it is not read word by word; a cut is made at single blanks only.
 _STRETCH = 1 << 18
+#: Bytes of remembered words.
+CACHE = 64 << 20
+#: Single blanks, where a text may be cut: no piece reaches across one (checked), and runs of blanks stay whole.
+_SINGLE = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
 
 
 class Side:
@@ -65,6 +72,36 @@ def stretches(text: str, size: int = _STRETCH) -> list[str]:
     return [*found, text[at:]]
 
 
+def words(text: str) -> list[str]:
+    """The text cut at single blanks, which are left out: the tokenizer puts one before each word."""
+    if "  " in text or MARK in text or text[:1] == " " or text[-1:] == " ":
+        return _SINGLE.split(text)
+    return text.split(" ")
+
+
+class _Pieces:
+    """The library's ids of whole texts, from those of their words; words met before are forgotten when they fill ``CACHE`` bytes."""
+
+    def __init__(self, model, pieces: list[str]):
+        self.model, self.known, self.bytes = model, {}, 0
+        # The library must read a word as it reads it within a text.
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces) and Normaliser.read(model) == Normaliser()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            cut = [stretches(t) for t in texts]
+            ids = iter(self.model.encode([s for part in cut for s in part], num_threads=1))
+            return [np.array([i for _ in part for i in next(ids)], dtype=np.int32) for part in cut]
+        if self.bytes > CACHE:
+            self.known, self.bytes = {}, 0
+        cut = [words(t) for t in texts]
+        new = list({w for part in cut for w in part if w not in self.known})
+        for word, ids in zip(new, self.model.encode(new, num_threads=1)):
+            self.known[word] = packed = array("i", ids).tobytes()
+            self.bytes += 2 * len(word) + len(packed) + 200  # with the objects around them
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, part)), np.int32) for part in cut]
+
+
 @cache
 def sides(bytes_model: str, pieces_model: str) -> tuple[Side, Side]:
     """Both vocabularies, once per Python worker. The files must be there wherever the tasks run."""
@@ -75,12 +112,7 @@ def sides(bytes_model: str, pieces_model: str) -> tuple[Side, Side]:
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     labels = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
-    def in_pieces(texts: list[str]) -> list[np.ndarray]:
-        cut = [stretches(t) for t in texts]
-        ids = iter(model.encode([s for part in cut for s in part], num_threads=1))
-        return [np.array([i for _ in part for i in next(ids)], dtype=np.int32) for part in cut]
-
-    return Side(lambda texts: [machine.encode(" " + t, special=False) for t in texts], machine.labels), Side(in_pieces, labels)
+    return Side(lambda texts: [machine.encode(" " + t, special=False) for t in texts], machine.labels), Side(_Pieces(model, pieces), labels)
 
 
 @dataclass
@@ -112,7 +144,7 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 def _joined(strings: pa.Array, owner: np.ndarray, owners: int, between) -> pa.Array:
     """One string per owner; ``owner`` of each string rises."""
-    offsets = np.searchsorted(owner, np.arange(owners + 1)).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))]).astype(np.int32)
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), strings), between)
 
 

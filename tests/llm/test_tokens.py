@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sqlassay.llm import alignment, centroids, merge_automaton
+from sqlassay.llm import alignment, centroids, merge_automaton, pieces
 from sqlassay.llm.registry import QUERIES
 from sqlassay.session import landed
 from tests.llm.conftest import frame, read
@@ -294,3 +294,23 @@ def test_centroids_are_found_by_built_in_functions(spark):
     grids = landed(centroids.on_grid(spark.read.parquet(f"{FOLDER}/embeddings.parquet")), "grids")
     plan = centroids.assigned(grids, centroids.starts(grids))._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" in plan and "array_min" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_pieces_of_words_are_those_of_the_text():
+    model = sentencepiece.SentencePieceProcessor(model_file=alignment.PIECES_MODEL)
+    rng = random.Random(21)
+    parts = ["a", "the", "ing", " ", "  ", "▁", "\n", "\t", "\r", "é", "中", "\U0001F600", "'s", "12", " ", "　", "ﬁ", "́", "<s>", "<0x41>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["a▁ b", "a ▁b", " a b ", "a  b c", " "]
+    side = alignment._Pieces(model, [model.id_to_piece(i) for i in range(model.get_piece_size())])
+    assert side.by_word and [ids.tolist() for ids in side(texts)] == model.encode(texts)
+    asked = []
+    side.model = type("Library", (), {"encode": lambda self, lines, **_: asked.extend(lines) or model.encode(lines)})()
+    assert [ids.tolist() for ids in side(texts)] == model.encode(texts) and not asked  # every word was met before
+
+
+def test_pieces_of_words_are_forgotten_when_they_fill_their_room(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE", 1000)
+    side = alignment.sides.__wrapped__(alignment.BYTES_MODEL, alignment.PIECES_MODEL)[1].encode
+    for k in range(20):
+        assert side([f"word{k} and {k}"])[0].tolist() == side.model.encode(f"word{k} and {k}")
+    assert len(side.known) < 12
