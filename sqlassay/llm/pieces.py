@@ -52,7 +52,7 @@ _TOGETHER, _LONG = 1 << 16, 64
 #: Rows whose ids are held at a time.
 _ROWS = 256
 #: Entries of a table of what was met lately: half of them are the latest ones.
-_MET, _PAIRS = 200_000, 200_000
+_MET, _PAIRS = 600_000, 600_000
 #: Arcs are numbered by the piece's id, those of the byte fallback by the character from here on; START is before the first arc.
 _FALLBACK, _BITS = 1 << 20, 22
 _START = (1 << _BITS) - 1

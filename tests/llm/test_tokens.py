@@ -314,3 +314,11 @@ def test_pieces_of_words_are_forgotten_when_they_fill_their_room(monkeypatch):
     for k in range(20):
         assert side([f"word{k} and {k}"])[0].tolist() == side.model.encode(f"word{k} and {k}")
     assert len(side.known) < 12
+
+
+def test_chunks_are_remembered_over_many_others():
+    computed = []
+    table = pieces._Recent(lambda key: computed.append(key) or key, pieces._MET)
+    for _ in range(2):
+        assert all(table[k] == k for k in range(250_000))
+    assert len(computed) == 250_000
