@@ -361,3 +361,62 @@ def test_lines_are_signed_and_compared_without_python(spark):
     rare = fuzzy_lines.by_rare_shingles(df.select(F.lit(1).alias("bucket"), "id"), df.select("id", F.col("a").alias("line")))
     for made in (each, rare):
         assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_tables_are_signed_and_outlined_like_single_lines(spark, prose):
+    lines = ["a", "abcdefg", "abcdefgh", "once more " * 40, "é" * 20, "\U0001F600 中文 and more", prose(300, 3), *(prose(k, k) for k in range(1, 60))]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("more", F.col("id") * 2)
+    one = df.select("id", "more", fuzzy_lines.signature(F.col("line")).alias("bands"), fuzzy_lines.outline("line").alias("o")).collect()
+    bands = {r["id"]: (r["more"], r["bands"]) for r in fuzzy_lines.signed(df, "id").collect()}
+    outlines = {r["id"]: list(r)[1:] for r in fuzzy_lines.outlined(df).collect()}
+    assert bands == {r["id"]: (r["more"], r["bands"]) for r in one} and outlines == {r["id"]: r["o"] for r in one}
+
+
+def test_lines_are_signed_without_lambdas_and_moves(spark):
+    lines = spark.createDataFrame([(1, "one line")], "key long, line string").repartition(3, "key")
+    plan = fuzzy_lines.signed(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and plan.count("Exchange") == 1 and "transform(" not in plan
+
+
+def test_odd_white_space_still_counts_as_one_blank(spark):
+    texts = ["A  b\tc\n\td \x0b e\r\n f\x0cg ", "a b c\nd e\nf g", "\t", "plain one", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.split(fuzzy_lines._normal(F.col("t")), "\n", -1)).collect()]
+    assert [None if lines is None else [line.strip(" ") for line in lines] for lines in got] == [None if t is None else [normal(line) for line in t.split("\n")] for t in texts]
+
+
+def test_long_lines_that_are_not_similar_are_told_apart_by_outlines(spark, prose):
+    """Lines of 700 characters around a common passage (similarity 0.6 to 0.75): none of their pairs is left to be compared."""
+    rng = random.Random(21)
+    passage = prose(100, 1)[:560]
+    lines = ["".join(rng.choice("abcdefghij ") for _ in range(130)) + passage for _ in range(30)]
+    pairs = [(a, b) for k, a in enumerate(lines) for b in lines[:k]]
+    df = spark.createDataFrame(pairs, "a string, b string").select(fuzzy_lines.outline("a").alias("x"), fuzzy_lines.outline("b").alias("y"))
+    as_struct = lambda c: F.struct(F.col(c)[0].alias("n"), *[F.col(c)[k + 1].alias(f"w{k}") for k in range(fuzzy_lines.PARITY_WORDS)])
+    assert all(0.6 < len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.75 for a, b in pairs)
+    assert df.filter(fuzzy_lines.may_be_similar(as_struct("x"), as_struct("y"))).count() <= 0.02 * len(pairs)
+
+
+def test_small_and_large_tables_of_edges_have_the_same_components(spark, monkeypatch):
+    rng = random.Random(22)
+    edges = spark.createDataFrame([(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)], "u long, v long")
+    small = {tuple(r) for r in components.components(edges).collect()}
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    assert small == {tuple(r) for r in components.components(edges).collect()}
+
+
+def test_groups_that_a_round_joins_are_not_listed(spark):
+    """Members that are one component by then give no pairs: the second round's pairs follow the number of components."""
+    members = [(0, k) for k in range(300)] + [(0, 1000 + k) for k in range(10)]
+    sets = Sets()
+    for _, x in members:
+        sets.join(x, 0 if x < 1000 else x)
+    asked = []
+
+    def similar(pairs):
+        asked.append(pairs.count())
+        return pairs.filter("v < 1000")
+
+    df = spark.createDataFrame(members, "bucket int, id long")
+    found = components.linked_in_buckets(df, similar, stars=1, pairs_per_member=1, listed=1, later=12)
+    assert {r["node"]: r["root"] for r in found.collect()} == {x: 0 for x in range(300)}
+    assert asked[0] == 309 and len(asked) == 2 and asked[1] == 300 * 10 + 45
