@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: How the vocabulary's pre-tokenizer splits a text into words. Letters come first here: no other way begins with one.
 PATTERN = regex.compile(r" ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
 #: Bytes of remembered words, arcs remembered, words split at a time.
-CACHE, ARCS, PORTION = 64 << 20, 300_000, 1 << 16
+CACHE, ARCS, PORTION = 128 << 20, 300_000, 1 << 16
 
 
 def byte_letters() -> dict[str, int]:

@@ -322,3 +322,19 @@ def test_chunks_are_remembered_over_many_others():
     for _ in range(2):
         assert all(table[k] == k for k in range(250_000))
     assert len(computed) == 250_000
+
+
+def test_words_of_many_documents_are_remembered():
+    """400,000 words, as 9,000 of the given documents hold, are looked up once each."""
+    met = []
+
+    class Machine:
+        def path(self, word):
+            met.append(word)
+            return [1, 2]
+
+    words = merge_automaton._Words(Machine())
+    for _ in range(2):
+        for k in range(400_000):
+            words[str(k)]
+    assert len(met) == 400_000
