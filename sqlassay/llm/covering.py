@@ -6,7 +6,8 @@ product with t is odd. However r or fewer differing bits are chosen, some t is o
 to all their vectors, so that table hides them all and the two fingerprints collide there:
 2^(r+1) - 1 tables find *every* pair within the radius, with no chance of a miss.
 
-Equal fingerprints are merged before anything is compared, so thousands of copies are one
+Fingerprints are summed by built-in functions, one row a shingle (Spark's ``xxhash64`` is XXH64 with seed 42), so no Python
+process holds texts beside the JVM. Equal fingerprints are merged before anything is compared, so thousands of copies are one
 member. Links are found bucket by bucket (``components.linked_in_buckets``).
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and is
@@ -17,41 +18,16 @@ table gives an empty result; of other columns only the kept rows' values are pas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from sqlassay.llm.components import linked_in_buckets
 from sqlassay.session import landed
 
-SHINGLE, SEED, RADIUS = 4, 42, 4
-_CHUNK = 1 << 15
-
-
-def simhash(text: str | None) -> int:
-    """The signed 64-bit fingerprint of one text; memory is bounded by its words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII white spaces
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else iter([b" ".join(words)])
-    count = max(1, len(words) - SHINGLE + 1)
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, count, _CHUNK):
-        n = min(_CHUNK, count - start)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(next(shingles), SEED) for _ in range(n)), dtype="<u8", count=n)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
-
-
-@F.pandas_udf(LongType())
-def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([simhash(text) for text in texts], dtype="int64")
+SHINGLE, RADIUS = 4, 4
+_BLANKS, _UPPER = " \t\n\x0b\f\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def masks(radius: int, bits: int = 64, step: int = 1) -> list[int]:
@@ -61,9 +37,29 @@ def masks(radius: int, bits: int = 64, step: int = 1) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in tables]
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, ``keep`` and fp (signed)."""
-    return docs.select("doc_id", *keep, _simhash(F.col("text")).alias("fp"))
+def words(text: Column) -> Column:
+    """The words of a text, A-Z in lower case; null for a text without any."""
+    # Translating costs far more than lower(), which changes other letters too.
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+    trimmed = F.btrim(lower, F.lit(_BLANKS))
+    return F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a digest of the text) and fp (signed) of each row."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
+    own = ["row", "doc_id", "text_key"]
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", "words")
+    rows = rows.select(*own, "words", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("at"))
+    shingle = F.concat_ws(" ", *[F.get("words", F.col("at") + k) for k in range(SHINGLE)])  # past the end is null, which joins as nothing
+    hashes = rows.select(*own, F.when(F.col("words").isNotNull(), F.xxhash64(shingle)).alias("h"))
+    # Bits k and k + 32 are counted in the halves of one integer: a text has fewer than 2^31 shingles.
+    pair = lambda k: F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1 << 32 | 1))
+    sums = hashes.groupBy(*own).agg(F.count("h").alias("n"), *[F.sum(pair(k)).alias(f"s{k}") for k in range(32)])
+    half = F.lit((1 << 32) - 1)
+    ones = [F.col(f"s{k}").bitwiseAND(half) for k in range(32)] + [F.shiftrightunsigned(f"s{k}", 32) for k in range(32)]
+    bits = [F.when(one * 2 > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, one in enumerate(ones)]
+    return sums.select("doc_id", "text_key", reduce(Column.bitwiseOR, bits).alias("fp"))
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -109,11 +105,11 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     whole = F.struct(*docs.columns).alias("_row")
     prints = landed(fingerprints(docs), "fingerprints")
     stay = _with_components(prints, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A document repeated within its component counts once: one fingerprint of it stays.
-    stay = stay.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one"), F.count(F.lit(1)).alias("n"))
-    stay = landed(stay.select("root", "n", F.col("one.doc_id").alias("_id"), F.col("one.fp").alias("_fp")), "stay")
-    rows = docs.select(F.col("doc_id").alias("_doc"), _simhash(F.col("text")).alias("_print"), whole)
-    kept = rows.join(stay, rows["_doc"].eqNullSafe(stay["_id"]) & (rows["_print"] == stay["_fp"]))
+    # A document repeated within its component counts once: one text of it stays.
+    stay = stay.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_key")).alias("one"), F.count(F.lit(1)).alias("n"))
+    stay = landed(stay.select("root", "n", F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key")), "stay")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_print"), whole)
+    kept = rows.join(stay, rows["_doc"].eqNullSafe(stay["_id"]) & (rows["_print"] == stay["_key"]))
     once = kept if stay.filter("n > 1").isEmpty() else kept.dropDuplicates(["root"])
     return once.select("_row.*")
 

@@ -420,3 +420,27 @@ def test_groups_that_a_round_joins_are_not_listed(spark):
     found = components.linked_in_buckets(df, similar, stars=1, pairs_per_member=1, listed=1, later=12)
     assert {r["node"]: r["root"] for r in found.collect()} == {x: 0 for x in range(300)}
     assert asked[0] == 309 and len(asked) == 2 and asked[1] == 300 * 10 + 45
+
+
+def test_fingerprints_are_summed_without_python(spark, prose):
+    odd = ["ÄPFEL Äpfel ẞ İ I J K\u0085L \x1cM", "A", "a B\tc", "one Two\x0bthree\x0cFOUR\r\nfive ", " \n", "", None, "É A É A É A É A É A", prose(70000, 3), "Ⅰ Ⓐ Ω WORD"]
+    rows = [(k, text, "s") for k, text in enumerate(odd + [prose(k, k) for k in range(1, 12)])]
+    found = covering.fingerprints(frame(spark, rows))
+    assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+    got = found.select("doc_id", covering.hex_digits("fp").alias("fp")).collect()
+    assert sorted(map(tuple, got)) == [(k, f"{print_by_hand(text):016x}") for k, text, _ in rows]
+
+
+def test_rounds_read_no_more_than_the_nodes_between(spark, monkeypatch):
+    """A group whose members are all linked goes into the rounds with an edge per node, not with its square."""
+    edges = [(a, b) for a in range(80) for b in range(a)] + [(100 + k, 100) for k in range(1, 50)] + [(200, 100), (200, 79), (300, 301), (302, 301)]
+    read, rooted = [], components._rooted
+
+    def counted(core):
+        read.append(core.count())
+        return rooted(core)
+
+    monkeypatch.setattr(components, "_rooted", counted)
+    found = sorted(tuple(r) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert found == [(k, 0) for k in [*range(80), *range(100, 150), 200]] + [(k, 300) for k in range(300, 303)]
+    assert read[0] <= 160 < len(edges)
