@@ -444,3 +444,8 @@ def test_rounds_read_no_more_than_the_nodes_between(spark, monkeypatch):
     found = sorted(tuple(r) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert found == [(k, 0) for k in [*range(80), *range(100, 150), 200]] + [(k, 300) for k in range(300, 303)]
     assert read[0] <= 160 < len(edges)
+
+
+def test_near_dedup_runs_no_python(spark, awkward):
+    plan = covering.near_dedup(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
