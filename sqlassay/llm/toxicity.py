@@ -32,6 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.storagelevel import StorageLevel
+
+from sqlassay.functions.rows import exploded
 
 #: Labelled rows that are learned from, at most, per label.
 SAMPLE = 8000
@@ -160,12 +163,13 @@ def _neighbours(texts: pd.Series) -> pd.Series:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the labelled rows outside the held-out third."""
-    rows = training_rows(docs, labels, sample).persist()
+    # Both are read several times; on disk they take no room in the memory of executors, whose Python workers need it.
+    rows = training_rows(docs, labels, sample).persist(StorageLevel.DISK_ONLY)
+    pairs = exploded(rows, ["toxic"], _neighbours(F.col("text")), "pair").groupBy("pair").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
+    pairs = pairs.select("pair", F.substring_index("pair", " ", -1).alias("word"), "toxic", "least").persist(StorageLevel.DISK_ONLY)
     try:
         if rows.filter("toxic = 1").isEmpty():
             return Lexicon({folded(word): weight for word, weight in SEED.items()})
-        pairs = rows.select("toxic", F.explode(_neighbours(F.col("text"))).alias("pair")).groupBy("pair").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
-        pairs = pairs.select("pair", F.substring_index("pair", " ", -1).alias("word"), "toxic", "least")
         words = pairs.groupBy("word").agg(F.sum((F.col("toxic") == 1).cast("bigint")).alias("bad"), F.sum((F.col("least") == 0).cast("bigint")).alias("good"))
         sizes = words.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
         base = sizes["bad"] / (sizes["bad"] + sizes["good"])
@@ -187,6 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             lexicon.pivot = _pivot([tuple(row) for row in rows.select(evidence_column(lexicon), "toxic").collect()])
         return lexicon
     finally:
+        pairs.unpersist()
         rows.unpersist()
 
 

@@ -52,6 +52,17 @@ def test_held_out_labels_teach_nothing(spark, prose):
     assert toxicity.learn(docs, turned) == toxicity.learn(docs, labels)
 
 
+def test_toxicity_keeps_what_it_learns_from_on_disk(spark, prose, monkeypatch):
+    docs = frame(spark, [(i, prose(20, i) + (" grotwark" if i % 2 else ""), "a") for i in range(240)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    kept, stems = [], toxicity._stems
+    monkeypatch.setattr(toxicity, "_stems", lambda found: kept.extend((i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()) or stems(found))
+    spark.catalog.clearCache()
+    assert toxicity.learn(docs, labels).entries
+    # The sample and its pairs, both formed once.
+    assert len(kept) == 2 and all(memory == 0 and disk > 0 for memory, disk in kept)
+
+
 def test_toxicity_folds_and_excuses():
     lexicon = toxicity.Lexicon({toxicity.folded("idiot"): 4.0, toxicity.folded("scum"): 4.0}, {toxicity.folded("pond scum")})
     built = lexicon.automaton()
