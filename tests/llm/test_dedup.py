@@ -449,3 +449,10 @@ def test_rounds_read_no_more_than_the_nodes_between(spark, monkeypatch):
 def test_near_dedup_runs_no_python(spark, awkward):
     plan = covering.near_dedup(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_shingle_meets_its_own_band_and_word_only(spark):
+    lines = spark.createDataFrame([(b"k", 1, "a line to be signed")], "key binary, id long, line string")
+    of = lambda df, call: max(line.count(call) for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert of(fuzzy_lines.signed(lines), "min(") == fuzzy_lines.ROWS
+    assert of(fuzzy_lines.outlined(lines.select("id", "line")), "bit_xor(") == 1
