@@ -69,7 +69,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = nodes.select("fp", F.inline(tables)).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.col("fp").alias("id"))
     shared = rows.groupBy("t", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
     shared = shared.select(F.col("t").alias("_t"), F.bitwise_not("key").alias("_key"))  # see components.apart
-    members = rows.join(shared, (rows["t"] == shared["_t"]) & (F.bitwise_not(rows["key"]) == shared["_key"]))
+    # Spark sizes the exploded rows as if each were still one, 31 times too low, and would broadcast all of them by way of the driver.
+    members = rows.hint("merge").join(shared, (rows["t"] == shared["_t"]) & (F.bitwise_not(rows["key"]) == shared["_key"]))
     members = landed(members.select(F.struct("t", "key").alias("bucket"), "id"), "members")
     near = lambda one, other: F.bit_count(one["id"].bitwiseXOR(other["id"])) <= radius
     again = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("bigint").alias("mask")) for t, m in enumerate(masks(radius, step=11))])

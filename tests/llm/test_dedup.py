@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -456,3 +458,30 @@ def test_a_shingle_meets_its_own_band_and_word_only(spark):
     of = lambda df, call: max(line.count(call) for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert of(fuzzy_lines.signed(lines), "min(") == fuzzy_lines.ROWS
     assert of(fuzzy_lines.outlined(lines.select("id", "line")), "bit_xor(") == 1
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Neither the rows of all masks nor those of the second family meet by way of the driver, however small Spark takes them for."""
+    rng = random.Random(21)
+    base = rng.getrandbits(62)
+    prints = sorted({base ^ sum(1 << bit for bit in rng.sample(range(62), 4)) for _ in range(150)} | {rng.getrandbits(62) for _ in range(150)})
+    plans = {}
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return landed(df, name)
+
+    landed = covering.landed
+    monkeypatch.setattr(covering, "landed", seen)
+    monkeypatch.setattr(components, "landed", seen)
+    monkeypatch.setattr(covering, "linked_in_buckets", functools.partial(components.linked_in_buckets, stars=0, pairs_per_member=0))
+    found = {(r["node"], r["root"]) for r in covering.links(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()}
+    for name in ("members", "links"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
+    assert "finer" in plans
+    sets = Sets()
+    for a, b in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= 4:
+            sets.join(a, b)
+    assert found == {(x, sets.find(x)) for x in sets.up}
+    assert len(found) > 100
